@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
     """Pieces of the batches with at most so many bytes in a column (one row at least), and that column as UTF-8."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
-        lengths = np.asarray(texts.fill_null(b"").value_lengths() if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts.fill_null(b"")), dtype=np.int64)
+        lengths = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64)
         ends, start = np.cumsum(lengths), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe
+from quarry.llm import bpe, fingerprint, shard, tokenfile
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,6 +34,27 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe_roundtrip": op1_bpe_roundtrip}
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edit with the next document."""
+    return fingerprint.compare_edited(spark, documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, each closed by id 1, as read back."""
+    manifest = tokenfile.write(spark, documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), 1, tokenfile.folder(spark))
+    return tokenfile.read(spark, manifest, with_ids=False).withColumnRenamed("key", "doc_id")
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 7."""
+    return shard.assign(spark, documents(spark, sf_dir, "doc_id", "text"), 8)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op3_fingerprints": op3_fingerprints,
+    "op5_token_files": op5_token_files,
+    "op8_shards": op8_shards,
+}
 
 ORACLE_SQL: dict[str, str] = {}
