@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, shard, tokenfile
+from quarry.llm import bpe, fingerprint, shard, substring, tokenfile
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -34,6 +34,29 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after windows of 13 words that start in earlier documents are removed."""
+    done = substring.dedup(spark, documents(spark, sf_dir, "doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (win) WHERE first_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hits)),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+marked AS (SELECT f.doc_id, f.p, f.word, g.p IS NOT NULL AS cut FROM flat f LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.p = g.p)
+SELECT d.doc_id, count(m.p) AS n_words, count(m.p) FILTER (m.cut) AS n_removed,
+  sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.p) FILTER (NOT m.cut), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document."""
     return fingerprint.compare_edited(spark, documents(spark, sf_dir, "doc_id", "text"))
@@ -52,9 +75,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op5_token_files": op5_token_files,
     "op8_shards": op8_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL}
