@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, fingerprint, ngram_join, shard, substring, tokenfile
+from quarry.llm import bpe, fingerprint, media, ngram_join, packing, shard, substring, token_counts, tokenfile, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -63,6 +63,17 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(spark, documents(spark, sf_dir, "doc_id", "text"))
 
 
+#: The chain's categories in its order: texts marked as of low quality, then toxic ones.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities along the chain, and whether it is toxic."""
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.train(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), CATEGORIES)
+    return toxicity.score(docs, model).select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, each closed by id 1, as read back."""
     manifest = tokenfile.write(spark, documents(spark, sf_dir, "doc_id", "text"), tokenizer_path(), 1, tokenfile.folder(spark))
@@ -90,18 +101,40 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r
 """
 
 
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as media of shared chunks, read back, verified and described."""
+    folder = media.folder(spark)
+    rows, places = media.write(spark, documents(spark, sf_dir, "doc_id", "text"), folder)
+    return media.describe(media.read(spark, rows, places, folder)).withColumnRenamed("key", "doc_id")
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return shard.assign(spark, documents(spark, sf_dir, "doc_id", "text"), 8)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 length buckets of least padding and batches of at most 65,536 padded words."""
+    return packing.pack(spark, documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text before and after three edits, with the pieces that were encoded again."""
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("edits", token_counts.trial_edits("text"))
+    return token_counts.edited_counts(docs, tokenizer_path()).select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_ngram_join": op6_ngram_join,
+    "op7_media_chunks": op7_media_chunks,
     "op8_shards": op8_shards,
+    "op9_packing": op9_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL}
