@@ -132,6 +132,7 @@ class WindowIndex:
         manifest = self._write_runs(docs, key, text)
         new, old, level = self._paths([manifest]), self._paths(self.runs), self._level_paths()
         self.runs.append(manifest)
+        parts = self.parts
 
         def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -155,21 +156,10 @@ class WindowIndex:
                             least[hit] = np.minimum(least[hit], docs_of[at[hit]])
                     over = ids > np.repeat(least, np.diff(np.append(starts, len(hashes))))
                     hashes, ids = hashes[over], ids[over]
-                    order = np.lexsort((hashes, ids))
-                    hashes, ids = hashes[order], ids[order]
-                    keep = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=bool)
-                    hashes, ids = hashes[keep], ids[keep]
-                    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
-                    bounds = np.append(first, len(ids))
-                    for k in range(0, len(first), 4096):
-                        cut = bounds[k : k + 4097]
-                        data = pa.py_buffer(hashes[cut[0] : cut[-1]].tobytes())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[cut[:-1]]), pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32)), data])],
-                            names=["key", "hashes"],
-                        )
-
-        return self.spark.range(0, self.parts, 1, self.parts).mapInArrow(repeated, "key long, hashes binary")
+                    yield _parcels(hashes, ids, parts)
+
+        dealt = self.spark.range(0, parts, 1, parts).mapInArrow(repeated, "bucket int, ids binary, hashes binary").repartitionById(parts, "bucket")
+        return dealt.mapInArrow(_by_document, "key long, hashes binary")
 
     def compact(self) -> None:
         """Merges all runs into one file for each range, with the least document of each window, and deletes the merged ones."""
@@ -195,6 +185,38 @@ class WindowIndex:
         self.runs, self.level = [], manifest
 
 
+def _parcels(hashes: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Windows by a bucket of their document, one row for each bucket."""
+    bucket = (mix(ids.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((ids, bucket))
+    bucket, hashes, ids = bucket[order], hashes[order], ids[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
+    ends = np.append(first[1:], len(ids))
+    packed = [squeeze_sorted(ids[a:b].view(U64) ^ U64(1 << 63)) for a, b in zip(first, ends, strict=True)] if len(ids) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first], type=pa.int32()), pa.array(packed, type=pa.binary()), pa.array([hashes[a:b].tobytes() for a, b in zip(first, ends, strict=True)] if len(ids) else [], type=pa.binary())],
+        names=["bucket", "ids", "hashes"],
+    )
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathers parcels: one row for each document, its windows once and ascending."""
+    parcels = [(expand_sorted(i), np.frombuffer(h, dtype=U64)) for batch in batches for i, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    if not parcels:
+        return
+    ids, hashes = (np.concatenate(x) for x in zip(*parcels, strict=True))
+    order = np.lexsort((hashes, ids))
+    ids, hashes = (ids[order] ^ U64(1 << 63)).view(np.int64), hashes[order]
+    once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])))
+    ids, hashes = ids[once], hashes[once]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    bounds = np.append(first, len(ids))
+    for k in range(0, len(first), 1024):
+        cut = bounds[k : k + 1025]
+        offsets = pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]]), pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(hashes[cut[0] : cut[-1]].tobytes())])], names=["key", "hashes"])
+
+
 def _least(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash once, ascending, with its least document."""
     if not len(hashes):
