@@ -89,7 +89,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = S
 
 
 def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """Tokens that two or more classes have, for each class in pieces: class, n (size of its set), tokens, counts (arrays as bytes)."""
+    """Tokens that two or more classes have, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token)."""
     n_parts = partitions(spark, docs)
     cuts = part_cuts(n_parts)
 
@@ -139,19 +139,48 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: i
             counts = np.diff(np.append(starts, len(tokens)))
             each = np.repeat(counts, counts)
             tokens, name, size, each = tokens[each > 1], name[each > 1], size[each > 1], each[each > 1].astype(np.int64)
-            order = np.argsort(name, kind="stable")
-            tokens, name, size, each = tokens[order], name[order], size[order], each[order]
-            first = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.zeros(0, dtype=np.int64)
-            ends = np.append(first, len(name))
-            for j in range(0, len(first), 4096):
-                cut = ends[j : j + 4097]
-                offsets = pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32))
-                binary = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(x[cut[0] : cut[-1]].tobytes())]) for x in (tokens, each)]
-                yield pa.RecordBatch.from_arrays([pa.array(name[cut[:-1]]), pa.array(size[cut[:-1]].astype(np.int64)), *binary], names=["class", "n", "tokens", "counts"])
+            yield _parcels(name, size, tokens, each, n_parts)
 
     rows = docs.select(F.col(text).alias("text"))
     dealt = rows.mapInArrow(spread, "part int, tokens binary, owner binary, names binary, sizes binary").repartitionById(n_parts, "part")
-    return dealt.mapInArrow(count, "class long, n long, tokens binary, counts binary")
+    sent = dealt.mapInArrow(count, "bucket int, names binary, sizes binary, lengths binary, tokens binary, counts binary").repartitionById(n_parts, "bucket")
+    return sent.mapInArrow(_by_class, "class long, n long, tokens binary, counts binary")
+
+
+def _parcels(name: np.ndarray, size: np.ndarray, tokens: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Tokens by a bucket of their class, one row for each bucket."""
+    bucket = (mix(name.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.lexsort((name, bucket))
+    bucket, name, size, tokens, counts = (x[order] for x in (bucket, name, size, tokens, counts))
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(name) else np.zeros(0, dtype=np.int64)
+    rows: list[list[bytes]] = [[] for _ in range(5)]
+    for a, b in zip(starts, np.append(starts[1:], len(name)), strict=True):
+        first = np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))
+        parts = (name[a:b][first].tobytes(), squeeze(size[a:b][first].astype(np.uint32)), squeeze(np.diff(np.append(first, b - a)).astype(np.uint32)), tokens[a:b].tobytes(), squeeze(counts[a:b].astype(np.uint32)))
+        for out, x in zip(rows, parts, strict=True):
+            out.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], type=pa.int32()), *(pa.array(x, type=pa.binary()) for x in rows)], names=["bucket", "names", "sizes", "lengths", "tokens", "counts"])
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gathers parcels: one row for each class, its tokens by (count, token)."""
+    got: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        for names, sizes, lengths, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            times = expand(lengths, np.uint32)
+            got.append((np.repeat(np.frombuffer(names, dtype=np.int64), times), np.repeat(expand(sizes, np.uint32), times), np.frombuffer(tokens, dtype=U64), expand(counts, np.uint32)))
+    if not got:
+        return
+    name, size, tokens, counts = (np.concatenate(x) for x in zip(*got, strict=True))
+    got.clear()
+    order = np.lexsort((tokens, counts, name))
+    name, size, tokens, counts = name[order], size[order].astype(np.int64), tokens[order], counts[order].astype(np.int64)
+    ends = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name))
+    for j in range(0, len(ends) - 1, 1024):
+        cut = ends[j : j + 1025]
+        offsets = pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32))
+        binary = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(x[cut[0] : cut[-1]].tobytes())]) for x in (tokens, counts)]
+        yield pa.RecordBatch.from_arrays([pa.array(name[cut[:-1]]), pa.array(size[cut[:-1]]), *binary], names=["class", "n", "tokens", "counts"])
 
 
 def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT, subclasses: int = SUBCLASSES) -> np.ndarray:
@@ -186,17 +215,14 @@ def candidates(pieces: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, n, lists in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                tokens = np.frombuffer(b"".join(x["tokens"] for x in lists), dtype=U64)
-                counts = np.frombuffer(b"".join(x["counts"] for x in lists), dtype=np.int64)
-                order = np.lexsort((tokens, counts))
-                if len(found := signatures(n, tokens[order], counts[order], percent)):
+            for name, n, shared, each in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens, counts = np.frombuffer(shared, dtype=U64), np.frombuffer(each, dtype=np.int64)
+                if len(found := signatures(n, tokens, counts, percent)):
                     rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "signatures": found.view(np.int64).tolist()})
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64()))]))
 
-    lists = pieces.groupBy("class", "n").agg(F.collect_list(F.struct("tokens", "counts")).alias("lists"))
-    return lists.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<long>")
+    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
