@@ -188,10 +188,11 @@ class Vocabulary:
 class Memo:
     """Id lists of pieces between ASCII white space, which no token crosses; they are encoded once while they are kept.
 
-    It holds at most ``most`` pieces and starts afresh beyond that.
+    ``encode`` gives the ids of many pieces, one after another, and how many
+    each has.  At most ``most`` pieces are held, beyond that it starts afresh.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 800_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 500_000) -> None:
         self.encode, self.most = encode, most
         self.clear()
 
@@ -207,10 +208,10 @@ class Memo:
             if len(self.at) + len(new) > self.most:
                 self.clear()
                 new = list(set(words))
-            for w, ids in zip(new, self.encode(new), strict=True):
-                self.at[w] = len(self.at)
-                self.ids.extend(ids)
-                self.ends.append(len(self.ids))
+            got, counts = self.encode(new)
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.ends.frombytes((np.cumsum(counts, dtype=np.int64) + len(self.ids)).tobytes())
+            self.ids.frombytes(np.asarray(got, dtype=np.int32).tobytes())
         codes = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
         ends = np.frombuffer(self.ends, dtype=np.int64)
         starts, lengths = ends[codes], ends[codes + 1] - ends[codes]
@@ -227,7 +228,12 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def memo(path: str) -> Memo:
     v = vocabulary(path)
-    return Memo(lambda words: [v.encode_piece(w) for w in words])
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [v.encode_piece(w) for w in words]
+        return np.array([i for ids in lists for i in ids], dtype=np.int32), np.array([len(ids) for ids in lists], dtype=np.int64)
+
+    return Memo(encode)
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:

@@ -38,14 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Memo
-from quarry.llm.common import open_fs, partitions, range_bounds, range_of, shared_dir, slices, stored
+from quarry.llm.bpe import WORD_END, Memo
+from quarry.llm.common import open_fs, partitions, ragged, range_bounds, shared_dir, slices, stored
 
 MAGIC = b"QTOKENS1"
 BLOCK = 4096
 FILE_IDS = 4 << 20
-#: A one-token word that parts words which are encoded together; words that hold it are encoded alone.
-MARK = "0"
+#: Words that may part others which are encoded together.
+MARKS = "0123456789"
 NULL_ID = -(1 << 63)
 
 
@@ -134,33 +134,59 @@ def library(path: str):  # noqa: ANN201
 def memo(path: str) -> Memo:
     """Ids by the tokenizers library, for pieces between ASCII white space, which its pattern never joins.
 
-    Pieces go through the library many at a time, parted by a word that is one
-    token and that occurs in none of them.
+    Pieces go through the library many at a time.  A piece of letters alone is
+    one word there, so the tokens that end words part such pieces.  Others are
+    parted by a digit that none of them holds and that is one token.
     """
     t = library(path)
-    mark = t.encode(MARK, add_special_tokens=False).ids
-    alone = len(mark) != 1
+    ends_word = np.zeros(t.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+    for token, i in t.get_vocab(with_added_tokens=False).items():
+        ends_word[i] = token.endswith(WORD_END)
+    marks = {d: ids[0] for d in MARKS if len(ids := t.encode(d, add_special_tokens=False).ids) == 1}
 
-    def encode(words: list[bytes]) -> list[list[int]]:
+    def letters(group: list[str], ids: np.ndarray) -> np.ndarray | None:
+        last = np.flatnonzero(ends_word[ids]) + 1
+        return np.diff(last, prepend=0) if len(last) == len(group) and (not len(ids) or last[-1] == len(ids)) else None
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        out: list[list[int]] = [[]] * len(texts)
-        plain = [] if alone else [i for i, w in enumerate(texts) if w.isascii() and MARK not in w or w.isalpha()]
-        rest = set(range(len(texts))).difference(plain)
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
-        for group, e in zip(groups, t.encode_batch_fast([f" {MARK} ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype=np.int64)
-            parts = np.split(ids, np.flatnonzero(ids == mark[0]))
-            if len(parts) != len(group):
-                rest.update(group)
-                continue
-            for k, (i, part) in enumerate(zip(group, parts, strict=True)):
-                out[i] = part[min(k, 1) :].tolist()
-        left = sorted(rest)
-        for i, e in zip(left, t.encode_batch_fast([texts[i] for i in left], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-    return Memo(encode)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # places of pieces, their ids one after another
+        todo = {"": [i for i, w in enumerate(texts) if w.isalpha()]}
+        rest = [i for i, w in enumerate(texts) if not w.isalpha()]
+
+        def run(mark: str, places: list[int]) -> list[int]:
+            """Encodes pieces; those that could not be parted are returned."""
+            failed: list[int] = []
+            groups = [places[k : k + 256] for k in range(0, len(places), 256)]
+            for group, e in zip(groups, t.encode_batch_fast([f" {mark} ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=np.int32)
+                if mark:
+                    cut = np.flatnonzero(ids == marks[mark])
+                    sizes = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1 if len(cut) == len(group) - 1 else None
+                    ids = np.delete(ids, cut)
+                else:
+                    sizes = letters(group, ids)
+                if sizes is None:
+                    failed += group
+                else:
+                    counts[group] = sizes
+                    found.append((np.array(group), ids))
+            return failed
+
+        rest += run("", todo[""])
+        for mark in marks:
+            rest = [i for i in rest if mark in texts[i]] + run(mark, [i for i in rest if mark not in texts[i]]) if rest else rest
+        for i, e in zip(rest, t.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            counts[i] = len(e.ids)
+            found.append((np.array([i]), np.array(e.ids, dtype=np.int32)))
+        ends = np.cumsum(counts)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        for places, ids in found:
+            out[ragged((ends - counts)[places], counts[places])] = ids
+        return out, counts
+
+    return Memo(encode, 800_000)
 
 
 def write(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,6 +196,7 @@ def write(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int, folde
     """
     n = partitions(spark, df)
     bounds = range_bounds(df, key, n)
+    firsts = np.array(bounds, dtype=np.int64)
     bits = width_of(max(end_id + 1, library(tokenizer).get_vocab_size(with_added_tokens=True)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +204,8 @@ def write(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int, folde
             ids, ends = memo(tokenizer).lookup(texts)
             at = np.concatenate(([0], ends))
             packed = [pack(np.append(ids[a:b], end_id), bits) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at) + 1, type=pa.int64()), pa.array(packed, type=pa.binary())], names=["at", "key", "n", "packed"])
+            where = np.maximum(0, np.searchsorted(firsts, np.asarray(batch.column(0).fill_null(NULL_ID)), side="right") - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), batch.column(0), pa.array(np.diff(at) + 1, type=pa.int64()), pa.array(packed, type=pa.binary())], names=["at", "key", "n", "packed"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -211,7 +239,7 @@ def write(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int, folde
             yield flush()
 
     open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
-    rows = df.select(range_of(F.col(key), bounds).alias("at"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     dealt = rows.mapInArrow(encode, "at int, key long, n long, packed binary").repartitionById(len(bounds), "at").sortWithinPartitions(F.asc_nulls_first("key"))
     files = stored(spark, dealt.mapInArrow(save, "path string, range int, seq int, n_docs long, n_ids long, n_bytes long"), f"{folder}/manifest")
     before = (
