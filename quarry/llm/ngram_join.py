@@ -17,11 +17,12 @@ equal sets form one class; classes are joined, documents follow their class.
    prefix, so they meet under some signature.  Sets too small to reach that
    sum, and those that may be similar to such, also index single tokens of the
    plain prefix.
-3. Sets under one signature are verified.  Where many meet, first only against
-   hubs, the sets with the most frequent tokens; sets that are linked to the
-   same component by then are not compared again, and every pair that is still
-   open is verified in the end.  So a group of copies costs a multiple of its
-   size and no link between components is lost.
+3. Sets under one signature are verified, if their sizes and the numbers of
+   tokens after the signature allow the similarity.  They meet their hub first,
+   the set with the most frequent tokens, then more hubs where many are left;
+   sets that are linked by then are not compared again, and every pair that is
+   still open is verified in the end.  So a group of copies costs a multiple of
+   its size and no link between components is lost.
 
 Intersections are counted on the shared tokens of both sets, which is exact up
 to collisions of 64-bit hashes.
@@ -57,7 +58,7 @@ SMALL = 14
 BLOCK = 2_000_000
 #: Hubs of a signature in each round after the first, which has one; rounds end when the pairs still open are at most FEW times the rows, and these are verified in full.
 HUBS = 16
-FEW = 32
+FEW = 16
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -183,33 +184,43 @@ def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name[cut[:-1]]), pa.array(size[cut[:-1]]), *binary], names=["class", "n", "tokens", "counts"])
 
 
-def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT, subclasses: int = SUBCLASSES) -> np.ndarray:
-    """Signatures of a set of n tokens, given those that others have too, in ascending order of (count, token), with their counts."""
+def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT, subclasses: int = SUBCLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a set of n tokens, and how many tokens a partner can share at most if that signature is the first in common.
+
+    Given are the tokens that others have too, in ascending order of (count,
+    token), with their counts; the others come before them in the order.
+    """
     sum_needed = n - needed(n, percent) + 1
     alone = n - len(tokens)
     small = n <= SMALL
     if alone >= sum_needed and not small:
-        return np.zeros(0, dtype=U64)
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
     rare = int(np.searchsorted(counts, frequent, side="right"))
-    out = [mix(tokens[: max(0, min(rare, sum_needed - alone))])]
+    left = len(tokens) - np.arange(len(tokens))
+    single = max(0, min(rare, sum_needed - alone))
+    out, rest = [mix(tokens[:single])], [left[:single]]
     have, at = alone + min(rare, max(0, sum_needed - alone)), rare
-    groups: dict[int, list[np.uint64]] = {}
+    groups: dict[int, list[int]] = {}
     group_of = (mix(tokens) % U64(subclasses)).tolist()
     while have < sum_needed and at < len(tokens):
         group = groups.setdefault(group_of[at], [])
         have += bool(group)
-        group.append(tokens[at])
+        group.append(at)
         at += 1
     for group in groups.values():
         if len(group) > 1:
-            pairs = np.array(list(combinations(group, 2)), dtype=U64)
-            out.append(mix(pairs[:, 0] * U64(3) + mix(pairs[:, 1])))
+            pairs = np.array(list(combinations(group, 2)))
+            out.append(mix(tokens[pairs[:, 0]] * U64(3) + mix(tokens[pairs[:, 1]])))
+            rest.append(left[pairs[:, 0]] + subclasses)  # before it, one token of each group may be shared
     if small:
-        out.append(mix(tokens[: max(0, sum_needed - alone)] + U64(1)))
-    return np.unique(np.concatenate(out))
+        first = max(0, sum_needed - alone)
+        out.append(mix(tokens[:first] + U64(1)))
+        rest.append(left[:first])
+    found, place = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(rest)[place]
 
 
-def candidates(pieces: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(pieces: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Classes that may be similar to others: class, n, weight, tokens (shared ones, ascending), signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +228,14 @@ def candidates(pieces: DataFrame, percent: int = PERCENT) -> DataFrame:
             rows = []
             for name, n, shared, each in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens, counts = np.frombuffer(shared, dtype=U64), np.frombuffer(each, dtype=np.int64)
-                if len(found := signatures(n, tokens, counts, percent)):
-                    rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "signatures": found.view(np.int64).tolist()})
+                found, left = signatures(n, tokens, counts, percent, frequent)
+                if len(found):
+                    pairs = [{"sig": x, "left": y} for x, y in zip(found.view(np.int64).tolist(), left.tolist(), strict=True)]
+                    rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "signatures": pairs})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.struct([("sig", pa.int64()), ("left", pa.int32())])))]))
 
-    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<long>")
+    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<struct<sig:long,left:int>>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -239,71 +252,74 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, shared long")
 
 
+def labels(edges: DataFrame) -> DataFrame:
+    """node, root: the least node within two links. Equal roots mean one component, different ones mean nothing."""
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    two = both.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    return two.select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+
+
 def components(spark: SparkSession, edges: DataFrame, folder: str) -> DataFrame:
-    """The least member (root) of the component of each node, by alternating large and small stars; edges have columns a, b."""
-    now = stored(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{folder}/0")
-    step = 0
+    """node, root: the least node of each node's component, by alternating large and small stars; edges have columns a, b. Roots themselves are not listed."""
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     mark = F.struct(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)))
-    seen = None
+    seen, step = None, 0
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        now = stored(spark, small, f"{folder}/{step}")
         step += 1
-        after = stored(spark, small, f"{folder}/{step}")
-        got = after.agg(mark).first()
+        got = now.agg(mark).first()
         if got == seen:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, seen = after, got
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen = got
 
 
-def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b, shared) between similar classes that join their components, and the components (node, root)."""
-    found = stored(spark, candidates(shared_tokens(spark, docs, text, k), percent), f"{folder}/candidates")
+def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """Links (a, b, shared) between similar classes, enough of them to join their components."""
+    found = stored(spark, candidates(shared_tokens(spark, docs, text, k), percent, frequent), f"{folder}/candidates")
     sets = found.select("class", "n", "tokens")
-    rows = found.select(F.explode("signatures").alias("sig"), "class", "n", "weight")
-    met = rows.groupBy("sig").agg(F.count("*").alias("met")).where("met > 1").select("sig")
-    rows = stored(spark, rows.join(met, "sig"), f"{folder}/signatures")
-    edges = spark.createDataFrame([], "a long, b long, shared long")
-    roots = spark.createDataFrame([], "node long, root long")
-    near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2)")
-    turn = 0
-    while True:
-        labelled = rows.select("sig", "class", "n", "weight").join(roots, F.col("class") == F.col("node"), "left").select("sig", "class", "n", "weight", F.coalesce("root", "class").alias("root"))
-        # buckets whose sets are all in one component are done
-        split = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-        rows = stored(spark, labelled.join(split, "sig"), f"{folder}/open-{turn}")
-        sizes = rows.groupBy("sig").agg(F.count("*").cast("double").alias("c"))
-        same = rows.groupBy("sig", "root").agg(F.count("*").cast("double").alias("c"))
-        count, pairs_all = sizes.agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
-        if not count:
-            break
-        open_pairs = (pairs_all - same.agg(F.sum(F.col("c") * F.col("c"))).first()[0]) / 2
-        every = turn > 0 and open_pairs <= FEW * count
-        if every:
-            hubs = rows
-        else:
-            order = Window.partitionBy("sig").orderBy(F.desc("weight"), "class")
-            hubs = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= (HUBS if turn else 1)).drop("_rank")
-        other = hubs.select("sig", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        pairs = rows.join(other, "sig").where("root <> root2").where(near).select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
-        edges = edges.unionAll(stored(spark, verified(pairs, sets, percent), f"{folder}/links-{turn}"))
-        roots = components(spark, edges, f"{folder}/components-{turn}")
-        if every:
-            break
-        # the hubs of a bucket have met all its sets
-        rows = rows.join(hubs.select("sig", "class"), ["sig", "class"], "left_anti")
-        turn += 1
-    return edges, roots
-
-
-def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight").select("s.sig", "s.left", "class", "n", "weight", F.col("class").alias("root"))
+    # sizes and what is left of both sets allow the similarity
+    near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * least(left, left2) >= {percent} * (n + n2)")
+    pair = (F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))
+    bucket = Window.partitionBy("sig")
+    rank = F.row_number().over(bucket.orderBy(F.desc("weight"), "class"))
+    edges: DataFrame | None = None
+    turn, every = 0, False
+    while not every:
+        # signatures whose sets are all in one component are done
+        ranked = rows.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").withColumn("_rank", rank).drop("_low", "_high")
+        rows = stored(spark, ranked, f"{folder}/open-{turn}")
+        if turn:
+            sizes = rows.groupBy("sig", "root").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
+            count, open_pairs = sizes.agg(F.sum("c"), F.sum("p") / 2).first()
+            if not count:
+                break
+            every = open_pairs <= FEW * count
+        hubs = rows if every else rows.where(F.col("_rank") <= (HUBS if turn else 1))
+        other = hubs.select("sig", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("root").alias("root2"))
+        pairs = rows.join(other, "sig").where("root <> root2").where(near).select(*pair).distinct()
+        new = stored(spark, verified(pairs, sets, percent), f"{folder}/links-{turn}")
+        edges = new if edges is None else edges.unionAll(new)
+        if not every:
+            # the hubs have met all sets of their signatures; what is linked by now is not compared again
+            known = stored(spark, labels(edges), f"{folder}/labels-{turn}")
+            left = rows.where(F.col("_rank") > (HUBS if turn else 1)).drop("_rank", "root")
+            rows = left.join(known, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
+            turn += 1
+    return edges
+
+
+def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: key, n_shingles, class, component_id (the least key reachable by links)."""
     folder = shared_dir(spark, "ngrams")
     of = stored(spark, members(docs, key, text, k), f"{folder}/members")
-    _, roots = links(spark, docs, folder, text, k, percent)
+    roots = components(spark, links(spark, docs, folder, text, k, percent, frequent), f"{folder}/components")
     least = of.where("class is not null").groupBy("class").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     rooted = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     # only classes with copies or links need a look-up
