@@ -59,6 +59,8 @@ BLOCK = 2_000_000
 #: Hubs of a signature in each round after the first, which has one; rounds end when the pairs still open are at most FEW times the rows, and these are verified in full.
 HUBS = 16
 FEW = 16
+#: Rounds of hubs after the first; what is open then is verified in any case, so that sets just below the similarity, which no hub settles, cost one join and not a round each.
+HUB_ROUNDS = 1
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -300,7 +302,7 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text",
             count, open_pairs = sizes.agg(F.sum("c"), F.sum("p") / 2).first()
             if not count:
                 break
-            every = open_pairs <= FEW * count
+            every = turn > HUB_ROUNDS or open_pairs <= FEW * count
         hubs = rows if every else rows.where(F.col("_rank") <= (HUBS if turn else 1))
         other = hubs.select("sig", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("root").alias("root2"))
         pairs = rows.join(other, "sig").where("root <> root2").where(near).select(*pair).distinct()
