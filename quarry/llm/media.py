@@ -155,8 +155,12 @@ def write(spark: SparkSession, df: DataFrame, folder: str, key: str = "doc_id",
     return media, places
 
 
-def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str) -> DataFrame:
-    """Rebuilds and verifies every medium: key, n_bytes, media_sha256, payload."""
+def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str, described: bool = False) -> DataFrame:
+    """Rebuilds and verifies every medium: key, n_bytes, media_sha256, media_bytes and payload.
+
+    With ``described``, digests and features of the payload as read back stand
+    in its place: payload_bytes, payload_sha256, tail_crc32 and feature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -172,14 +176,14 @@ def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str)
                     files.popitem(last=False)[1].close()
                 files[pack] = fs.open_input_file(f"{base}/{pack}.pack")
             files.move_to_end(pack)
-            if len(recent) >= 4096:
+            if len(recent) >= 2048:
                 recent.clear()
             data = recent[pack, at] = grow.decompress(files[pack].read_at(size, at), max_output_size=MOST)
             return data
 
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 data = []
                 for stated, refs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     refs.sort(key=lambda r: r["seq"])
@@ -189,7 +193,15 @@ def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str)
                         raise ValueError("a stored medium does not match its digests")
                     data.append(b"".join(chunks))
                 sizes = [len(container(r, [b""] * len(r))) + len(p) for r, p in zip(([x["digest"] for x in refs] for refs in batch.column(3).to_pylist()), data, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, type=pa.int64()), pa.array(data, type=pa.binary())], names=["key", "n_bytes", "media_sha256", "media_bytes", "payload"])
+                columns = {"key": batch.column(0), "n_bytes": batch.column(1), "media_sha256": batch.column(2), "media_bytes": pa.array(sizes, type=pa.int64())}
+                if described:
+                    columns["payload_bytes"] = pa.array([len(p) for p in data], type=pa.int64())
+                    columns["payload_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in data], type=pa.string())
+                    columns["tail_crc32"] = pa.array([zlib.crc32(p[-16:]) for p in data], type=pa.int64())
+                    columns["feature"] = pa.array([features(p) for p in data], type=pa.string())
+                else:
+                    columns["payload"] = pa.array(data, type=pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
         for f in files.values():
             f.close()
 
@@ -204,24 +216,8 @@ def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str)
         .agg(F.first("key").alias("key"), F.first("n_bytes").alias("n_bytes"), F.first("media_sha256").alias("media_sha256"), F.collect_list(F.struct("seq", "digest", "pack", "at", "size")).alias("refs"))
         .sortWithinPartitions("near", "row")
     )
-    return listed.select("key", "n_bytes", "media_sha256", "refs").mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, payload binary")
-
-
-def describe(media: DataFrame) -> DataFrame:
-    """Digests and features of payloads as read back: adds payload_bytes, payload_sha256, tail_crc32 and feature, and drops the payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data in slices(batches, "payload"):
-            kept = batch.columns[:-1]
-            columns = [
-                pa.array([len(p) for p in data], type=pa.int64()),
-                pa.array([hashlib.sha256(p).hexdigest() for p in data], type=pa.string()),
-                pa.array([zlib.crc32(p[-16:]) for p in data], type=pa.int64()),
-                pa.array([features(p) for p in data], type=pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*batch.schema.names[:-1], "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
-
-    return media.mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    shown = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" if described else "payload binary"
+    return listed.select("key", "n_bytes", "media_sha256", "refs").mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, " + shown)
 
 
 def compact(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str) -> DataFrame:

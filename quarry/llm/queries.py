@@ -105,7 +105,7 @@ def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as media of shared chunks, read back, verified and described."""
     folder = media.folder(spark)
     rows, places = media.write(spark, documents(spark, sf_dir, "doc_id", "text"), folder)
-    return media.describe(media.read(spark, rows, places, folder)).withColumnRenamed("key", "doc_id")
+    return media.read(spark, rows, places, folder, described=True).withColumnRenamed("key", "doc_id")
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
