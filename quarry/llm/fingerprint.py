@@ -50,32 +50,31 @@ def draws() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return r, (1 / r).astype(np.float32), g.random((SAMPLES, ROWS)).astype(np.float32), c
 
 
-def samples(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The samples of one weighted set of distinct terms, as 16-bit values (never 0)."""
+def values(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The value of each weighted term in each sample, SAMPLES x terms."""
     r, inv, b, c = draws()
-    row = (hashes % np.uint64(ROWS)).astype(np.int64)
-    other = ((hashes >> np.uint64(32)) % np.uint64(ROWS)).astype(np.int64)
-    log = np.log(weights).astype(np.float32)
-    at = np.zeros(SAMPLES, dtype=np.int64)
-    least = np.full(SAMPLES, np.inf, dtype=np.float32)
-    steps = np.zeros(SAMPLES, dtype=np.float32)
-    every = np.arange(SAMPLES)
-    for k in range(0, len(hashes), 4096):
-        i, j = row[k : k + 4096], other[k : k + 4096]
-        shift = b.take(i, axis=1)
-        step = inv.take(i, axis=1)
-        step *= log[k : k + 4096]
+    out = np.empty((SAMPLES, len(hashes)), dtype=np.float32)
+    for k in range(0, len(hashes), 2048):
+        h = hashes[k : k + 2048]
+        i, j = (h % np.uint64(ROWS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(ROWS)).astype(np.int64)
+        shift, step = b.take(i, axis=1), inv.take(i, axis=1)
+        step *= np.log(weights[k : k + 2048]).astype(np.float32)
         step += shift
         np.floor(step, out=step)
         shift -= step
         shift -= 1
         shift *= r.take(i, axis=1)
         shift += c.take(j, axis=1)
-        best = shift.argmin(axis=1)
-        value = shift[every, best]
-        won = value < least
-        least[won], at[won], steps[won] = value[won], best[won] + k, step[every, best][won]
-    tag = mix(hashes[at] ^ mix(steps.astype(np.int64).view(np.uint64) + np.uint64(SEED)))
+        out[:, k : k + 2048] = shift
+    return out
+
+
+def tags(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The chosen terms of the samples, with their steps, as 16-bit values (never 0)."""
+    _, inv, b, _ = draws()
+    every, row = np.arange(SAMPLES), (hashes % np.uint64(ROWS)).astype(np.int64)
+    steps = np.floor(inv[every, row] * np.log(weights).astype(np.float32) + b[every, row])
+    tag = mix(hashes ^ mix(steps.astype(np.int64).view(np.uint64) + np.uint64(SEED)))
     return (tag % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
 
 
@@ -92,11 +91,20 @@ def terms(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """A row of SAMPLES values for each text; zeros where it has no words."""
+    """A row of SAMPLES values for each text; zeros where it has no words. A weighted term that several texts have is valued once."""
     out = np.zeros((len(texts), SAMPLES), dtype=np.uint16)
-    for k, (hashes, weights) in enumerate(terms(texts)):
-        if len(hashes):
-            out[k] = samples(hashes, weights)
+    sets = list(terms(texts))
+    hashes, weights = (np.concatenate([s[i] for s in sets]) if sets else np.zeros(0) for i in (0, 1))
+    if not len(hashes):
+        return out
+    _, first, place = np.unique(hashes ^ mix(weights.astype(np.uint64) + np.uint64(SEED)), return_index=True, return_inverse=True)
+    table = values(hashes[first], weights[first])
+    start = 0
+    for k, (own, w) in enumerate(sets):
+        if len(own):
+            best = table.take(place[start : start + len(own)], axis=1).argmin(axis=1)
+            out[k] = tags(own[best], w[best])
+            start += len(own)
     return out
 
 
@@ -114,9 +122,9 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     kept = [f for f in df.schema.fields if f.name != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, text):
-            values = pa.array(shown(fingerprints([t or b"" for t in texts])), type=pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), values], names=[*(f.name for f in kept), out])
+        for batch, texts in slices(batches, text, 1 << 20):
+            prints = pa.array(shown(fingerprints([t or b"" for t in texts])), type=pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), prints], names=[*(f.name for f in kept), out])
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType())]))
 
@@ -152,14 +160,15 @@ def compare_edited(spark: SparkSession, df: DataFrame, key: str = "doc_id", text
         def rows(follow: list[tuple[int | None, str]]) -> pa.RecordBatch:
             nonlocal print_of
             docs = [*held, *follow]
-            own = fingerprints([t.encode() for _, t in (follow if print_of is not None else docs)])
-            if print_of is not None:
-                own = np.vstack([print_of[None], own])
+            fresh = [t.encode() for _, t in (follow if print_of is not None else docs)]
             edits = []
             for (_, a), (_, b) in zip(docs, docs[1:], strict=False):
                 half = len(a) // 2
                 edits.append((a[: len(a) - half] + b[:half]).encode())
-            edited = fingerprints(edits)
+            both = fingerprints([*fresh, *edits])
+            own, edited = both[: len(fresh)], both[len(fresh) :]
+            if print_of is not None:
+                own = np.vstack([print_of[None], own])
             print_of = own[-1]
             keys = [k for k, _ in docs[:-1]]
             return pa.RecordBatch.from_arrays(
@@ -175,7 +184,7 @@ def compare_edited(spark: SparkSession, df: DataFrame, key: str = "doc_id", text
                 names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", 1 << 20):
             keys, over = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             follow = []
             for k, t, o in zip(keys, texts, over, strict=True):
