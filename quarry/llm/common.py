@@ -68,6 +68,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             start = stop
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until none is a column's."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... of each piece, one piece after another."""
     ends = np.cumsum(lengths)
@@ -117,15 +128,16 @@ def ranked(df: DataFrame, group: str, key: str, n: int, out: str) -> DataFrame:
     from pyspark.sql import Window
 
     bounds = range_bounds(df, key, n)
-    cut = df.withColumn("_range", range_of(F.col(key), bounds))
+    range_, group_, at, count, before_, rank = free([*df.columns, out], "_range", "_group", "_at", "_count", "_before", "_rank")
+    cut = df.withColumn(range_, range_of(F.col(key), bounds))
     before = (
-        cut.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_at")).agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("_n")
+        cut.groupBy(F.col(group).alias(group_), F.col(range_).alias(at)).agg(F.count("*").alias(count))
+        .withColumn(before_, F.coalesce(F.sum(count).over(Window.partitionBy(group_).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop(count)
     )
-    inner = cut.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_range").orderBy(F.col(key).asc_nulls_first())) - 1)
+    inner = cut.withColumn(rank, F.row_number().over(Window.partitionBy(group, range_).orderBy(F.col(key).asc_nulls_first())) - 1)
     return (
-        inner.join(before, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
-        .withColumn(out, (F.col("_before") + F.col("_rank")).cast("long"))
-        .drop("_group", "_at", "_before", "_rank", "_range")
+        inner.join(before, F.col(group).eqNullSafe(F.col(group_)) & (F.col(range_) == F.col(at)))
+        .withColumn(out, (F.col(before_) + F.col(rank)).cast("long"))
+        .drop(group_, at, before_, rank, range_)
     )

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mix, partitions, shared_dir, slices, stored
+from quarry.llm.common import free, mix, partitions, shared_dir, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, shingles, squeeze, squeeze_sorted
 
 SHINGLE = 5
@@ -157,7 +157,7 @@ def _parcels(name: np.ndarray, size: np.ndarray, tokens: np.ndarray, counts: np.
     bucket, name, size, tokens, counts = (x[order] for x in (bucket, name, size, tokens, counts))
     starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(name) else np.zeros(0, dtype=np.int64)
     rows: list[list[bytes]] = [[] for _ in range(5)]
-    for a, b in zip(starts, np.append(starts[1:], len(name)), strict=True):
+    for a, b in zip(starts, np.append(starts, len(name))[1:], strict=True):
         first = np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))
         parts = (name[a:b][first].tobytes(), squeeze(size[a:b][first].astype(np.uint32)), squeeze(np.diff(np.append(first, b - a)).astype(np.uint32)), tokens[a:b].tobytes(), squeeze(counts[a:b].astype(np.uint32)))
         for out, x in zip(rows, parts, strict=True):
@@ -333,6 +333,7 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
 
 def component_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are linked to one with a smaller key; repeated rows of a key stay one row, rows with a null key all stay."""
-    gone = join(spark, docs, key, text).where(F.col("component_id") < F.col(key)).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    (name,) = free(docs.columns, "_gone")
+    gone = join(spark, docs, key, text).where(F.col("component_id") < F.col(key)).select(F.col(key).alias(name)).distinct()
+    kept = docs.join(gone, F.col(key) == F.col(name), "left_anti")
     return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import mix, open_fs, partitions, range_bounds, shared_dir, slices, stored
+from quarry.llm.common import free, mix, open_fs, partitions, range_bounds, shared_dir, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, squeeze, squeeze_sorted, windows
 
 WINDOW = 13
@@ -258,8 +258,9 @@ def remove(docs: DataFrame, repeated: DataFrame, window: int = WINDOW, key: str
             columns = [pa.array(words, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.binary()).cast(pa.string()), pa.array(spans, type=pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])
 
-    lists = repeated.groupBy(F.col("key").alias("_key")).agg(F.collect_list("hashes").alias("_hashes"))
-    joined = docs.select(*(f.name for f in fields), F.col(key).cast("long").alias("_of")).join(lists, F.col("_of") == F.col("_key"), "left").drop("_of", "_key")
+    of, doc, hashes = free(docs.columns, "_of", "_doc", "_hashes")
+    lists = repeated.groupBy(F.col("key").alias(doc)).agg(F.collect_list("hashes").alias(hashes))
+    joined = docs.select(*(f.name for f in fields), F.col(key).cast("long").alias(of)).join(lists, F.col(of) == F.col(doc), "left").drop(of, doc)
     return joined.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t) for n, t in added.items())]))
 
 

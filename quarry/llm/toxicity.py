@@ -8,7 +8,8 @@ models see them as uncertain as they will be for new texts.
 Features are properties of single words, each present or not: the word without
 the punctuation around it, its first four and five letters (which find
 inflected forms that were never seen), and the signs that end it.  The
-``FEATURES`` with the highest chi-square of each category are kept.
+``FEATURES`` with the highest chi-square of each category are kept, if it is
+at least ``LEAST_CHI``.
 
 Training uses at most ``SAMPLE`` labelled documents, those first by a hash of
 their id; of equal texts one is used.  Scoring reads every whole text.
@@ -38,10 +39,12 @@ from quarry.llm.common import shared_dir, slices, stored
 
 SAMPLE = 12_000
 FEATURES = 2048
+#: Least chi-square (one degree of freedom), so that words which are in few texts by chance are not learnt.
+LEAST_CHI = 20.0
 #: A feature is in at least so many texts of the sample.
 LEAST_TEXTS = 3
 FOLDS = 5
-STEPS, RATE, PENALTY = 300, 0.1, 2e-4
+STEPS, RATE, PENALTY = 120, 0.1, 1e-3
 EDGE = string.punctuation + string.digits + "¿¡«»…–—“”„’‘"
 
 
@@ -177,8 +180,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
         if not 0 < with_ < size:
             continue
         a, s = F.col(n).cast("double"), F.col("seen").cast("double")
-        chi = F.pow(a * size - s * with_, 2) / (s * (size - s + 0.5))
-        for r in counts.orderBy(chi.desc(), "feature").limit(FEATURES).collect():
+        chi = F.pow(a * size - s * with_, 2) * size / (s * (size - s + 0.5) * with_ * (size - with_))
+        for r in counts.where(chi >= LEAST_CHI).orderBy(chi.desc(), "feature").limit(FEATURES).collect():
             features.setdefault(r["feature"], len(features))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
