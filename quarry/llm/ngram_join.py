@@ -17,12 +17,15 @@ equal sets form one class; classes are joined, documents follow their class.
    prefix, so they meet under some signature.  Sets too small to reach that
    sum, and those that may be similar to such, also index single tokens of the
    plain prefix.
-3. Sets under one signature are verified, if their sizes and the numbers of
-   tokens after the signature allow the similarity.  They meet their hub first,
-   the set with the most frequent tokens, then more hubs where many are left;
-   sets that are linked by then are not compared again, and every pair that is
-   still open is verified in the end.  So a group of copies costs a multiple of
-   its size and no link between components is lost.
+3. Sets under one signature are compared with their hub, the set with the most
+   frequent tokens, if their sizes and the numbers of tokens after the
+   signature allow the similarity.  Sets that are linked by then are not
+   compared again.  Every other pair under a signature is, unless a bound rules
+   it out: two sets share at most the lesser of what each shares with the hub,
+   plus the lesser of their other tokens that any set shares.  That settles
+   copies which lie just below the similarity without comparing all of them,
+   so a group of copies costs a multiple of its size, and no link between
+   components is lost.
 
 Intersections are counted on the shared tokens of both sets, which is exact up
 to collisions of 64-bit hashes.
@@ -56,11 +59,6 @@ SUBCLASSES = 8
 SMALL = 14
 #: Shingles that a task gathers before it sends them on.
 BLOCK = 2_000_000
-#: Hubs of a signature in each round after the first, which has one; rounds end when the pairs still open are at most FEW times the rows, and these are verified in full.
-HUBS = 16
-FEW = 16
-#: Rounds of hubs after the first; what is open then is verified in any case, so that sets just below the similarity, which no hub settles, cost one join and not a round each.
-HUB_ROUNDS = 1
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -240,18 +238,18 @@ def candidates(pieces: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
     return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<struct<sig:long,left:int>>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs (a, b) of classes, those that are similar, with their shared tokens."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs (a, b) of classes, the number of tokens that they share, and whether they are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, ta, tb = (batch.column(i).to_pylist() for i in range(6))
+            na, nb, ta, tb = (batch.column(i).to_pylist() for i in range(2, 6))
             both = [len(np.intersect1d(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64), assume_unique=True)) for x, y in zip(ta, tb, strict=True)]
-            keep = [100 * s >= percent * (m + n - s) for s, m, n in zip(both, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(c, keep, strict=True) if k], type=pa.int64()) for c in (a, b, both)], names=["a", "b", "shared"])
+            similar = [100 * s >= percent * (m + n - s) for s, m, n in zip(both, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, type=pa.int64()), pa.array(similar, type=pa.bool_())], names=["a", "b", "shared", "similar"])
 
     one, two = (sets.select(F.col("class").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, shared long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, shared long, similar boolean")
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -285,35 +283,27 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text",
     """Links (a, b, shared) between similar classes, enough of them to join their components."""
     found = stored(spark, candidates(shared_tokens(spark, docs, text, k), percent, frequent), f"{folder}/candidates")
     sets = found.select("class", "n", "tokens")
-    rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight").select("s.sig", "s.left", "class", "n", "weight", F.col("class").alias("root"))
-    # sizes and what is left of both sets allow the similarity
-    near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {100 + percent} * least(left, left2) >= {percent} * (n + n2)")
+    rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight", (F.octet_length("tokens") / 8).cast("int").alias("own")).select("s.sig", "s.left", "class", "n", "weight", "own")
     pair = (F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))
+    # sizes, and what is left of both sets, allow the similarity
+    enough = lambda x: f"{100 + percent} * {x} >= {percent} * (n + n2)"
+    near = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {enough('least(left, left2)')}"
     bucket = Window.partitionBy("sig")
-    rank = F.row_number().over(bucket.orderBy(F.desc("weight"), "class"))
-    edges: DataFrame | None = None
-    turn, every = 0, False
-    while not every:
-        # signatures whose sets are all in one component are done
-        ranked = rows.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").withColumn("_rank", rank).drop("_low", "_high")
-        rows = stored(spark, ranked, f"{folder}/open-{turn}")
-        if turn:
-            sizes = rows.groupBy("sig", "root").agg(F.count("*").cast("double").alias("c")).groupBy("sig").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("p"), F.sum("c").alias("c"))
-            count, open_pairs = sizes.agg(F.sum("c"), F.sum("p") / 2).first()
-            if not count:
-                break
-            every = turn > HUB_ROUNDS or open_pairs <= FEW * count
-        hubs = rows if every else rows.where(F.col("_rank") <= (HUBS if turn else 1))
-        other = hubs.select("sig", F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("root").alias("root2"))
-        pairs = rows.join(other, "sig").where("root <> root2").where(near).select(*pair).distinct()
-        new = stored(spark, verified(pairs, sets, percent), f"{folder}/links-{turn}")
-        edges = new if edges is None else edges.unionAll(new)
-        if not every:
-            # the hubs have met all sets of their signatures; what is linked by now is not compared again
-            known = stored(spark, labels(edges), f"{folder}/labels-{turn}")
-            left = rows.where(F.col("_rank") > (HUBS if turn else 1)).drop("_rank", "root")
-            rows = left.join(known, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-            turn += 1
+    met = rows.withColumn("_met", F.count("*").over(bucket)).where("_met > 1").drop("_met").withColumn("hub", F.first(F.struct("class", "n", "left")).over(bucket.orderBy(F.desc("weight"), "class")))
+    rows = stored(spark, met.select("*", F.col("hub.class").alias("class2"), F.col("hub.n").alias("n2"), F.col("hub.left").alias("left2")).drop("hub").where("class <> class2"), f"{folder}/signatures")
+    first = stored(spark, compared(rows.where(near).select(*pair).distinct(), sets, percent), f"{folder}/hubs")
+    known = stored(spark, labels(first.where("similar")), f"{folder}/labels")
+    # two sets share at most what either shares with their hub, and of the rest at most the lesser
+    shared = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("shared").alias("both"))
+    rows = rows.join(shared, (F.least("class", "class2") == F.col("_a")) & (F.greatest("class", "class2") == F.col("_b")), "left").select("sig", "left", "class", "n", "own", "both")
+    rows = rows.join(known, F.col("class") == F.col("node"), "left").select("sig", "left", "class", "n", "own", "both", F.coalesce("root", "class").alias("root"))
+    split = rows.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").drop("_low", "_high")
+    open_ = stored(spark, split, f"{folder}/open")
+    other = open_.select("sig", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "left", "own", "both", "root")))
+    bound = f"(both is null or both2 is null or {enough('(least(both, both2) + least(own - both, own2 - both2))')})"
+    pairs = open_.join(other, "sig").where(f"class < class2 and root <> root2 and {near} and {bound}").select(*pair).distinct()
+    rest = stored(spark, compared(pairs, sets, percent), f"{folder}/rest")
+    edges = first.unionAll(rest).where("similar").select("a", "b", "shared")
     return edges
 
 
