@@ -44,6 +44,8 @@ LEAST_CHI = 20.0
 #: A feature is in at least so many texts of the sample.
 LEAST_TEXTS = 3
 FOLDS = 5
+#: Features that a task counts before it sends its counts on.
+HELD = 200_000
 STEPS, RATE, PENALTY = 120, 0.1, 1e-3
 EDGE = string.punctuation + string.digits + "¿¡«»…–—“”„’‘"
 
@@ -158,6 +160,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         hits = [Counter() for _ in names]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = list(seen)
+            for k in range(0, len(keys), 10_000):
+                part = keys[k : k + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[f] for f in part], type=pa.int64()), *(pa.array([h[f] for f in part], type=pa.int64()) for h in hits)], names=["feature", "seen", *names])
+            for c in (seen, *hits):
+                c.clear()
+
         for batch, texts in slices(batches, "text"):
             marks = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
             for i, t in enumerate(texts):
@@ -166,10 +177,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
                 for h, m in zip(hits, marks, strict=True):
                     if m[i]:
                         h.update(found)
-        keys = list(seen)
-        for k in range(0, len(keys), 10_000):
-            part = keys[k : k + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[f] for f in part], type=pa.int64()), *(pa.array([h[f] for f in part], type=pa.int64()) for h in hits)], names=["feature", "seen", *names])
+                if len(seen) >= HELD:
+                    yield from flush()
+        yield from flush()
 
     total = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
     counts = rows.mapInArrow(count, "feature string, seen long, " + ", ".join(f"`{n}` long" for n in names)).groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).where(F.col("seen") >= LEAST_TEXTS)
