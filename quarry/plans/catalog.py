@@ -133,7 +133,11 @@ def _finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bfr(spark: SparkSession, sf_dir: str) -> bfr.BFR:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="quarry-")
     out = bfr.BFR(spark, f"{base.rstrip('/')}/bfr-{bfr.uuid.uuid4().hex}", 3, rounds=20)
     rows = on.points(spark, sf_dir).select("id", "vec")
     for k in range(2):  # all points, in two chunks
