@@ -40,6 +40,8 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 SPACES = regex.compile(rf"[{SPACE}]+")
 WORD_END = "</w>"
+#: ASCII punctuation that starts no contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -74,6 +76,7 @@ class Vocabulary:
         base = [t for t in vocab if t not in made]
         self.ids = [vocab[t] for t in base + merged]
         self.text = [symbols(t) for t in base + merged]
+        self.lengths = [len(s) for s in self.text]
         rank = {s: i for i, s in enumerate(self.text)}
         n = len(base)
         self.split = [(i, i) for i in range(n)] + [(rank[symbols(a)], rank[symbols(b)]) for a, b in merges]
@@ -134,10 +137,13 @@ class Vocabulary:
             longest[end - length + 1] = token
         open_ = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token, text, prefix, compatible = 0, longest[0], self.text, self.prefix, self.compatible
+        at, token, lengths, prefix, known, compatible = 0, longest[0], self.lengths, self.prefix, self.pairs.get, self.compatible
         while at < n:
-            end = at + len(text[token])
-            if open_[end] and (not out or compatible(out[-1], token)):
+            end = at + lengths[token]
+            fits = open_[end]
+            if fits and out and (fits := known((out[-1], token))) is None:
+                fits = compatible(out[-1], token)
+            if fits:
                 out.append(token)
                 at = end
                 if at < n:
@@ -147,7 +153,7 @@ class Vocabulary:
             else:  # no token can follow here: give up this place
                 open_[at] = 0
                 token = out.pop()
-                at -= len(text[token])
+                at -= lengths[token]
         return out
 
     @lru_cache(maxsize=1 << 17)  # noqa: B019  one vocabulary lives as long as its worker
@@ -169,8 +175,12 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
-            text = SPACES.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
-        return [i for w in WORDS.findall(text.lower()) for i in self.encode_word(w)]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        low = text.lower()
+        core = low.rstrip(MARKS)
+        if core.isalpha():  # one word, and perhaps marks behind it: the pattern's parts without the pattern
+            return [*self.encode_word(core), *(self.encode_word(low[len(core) :]) if len(core) < len(low) else ())]
+        return [i for w in WORDS.findall(SPACES.sub(" ", low)) for i in self.encode_word(w)]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and byte ends of the texts of id lists that end at these places: token texts joined by one space."""
