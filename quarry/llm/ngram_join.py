@@ -22,10 +22,11 @@ equal sets form one class; classes are joined, documents follow their class.
    signature allow the similarity.  Sets that are linked by then are not
    compared again.  Every other pair under a signature is, unless a bound rules
    it out: two sets share at most the lesser of what each shares with the hub,
-   plus the lesser of their other tokens that any set shares.  That settles
-   copies which lie just below the similarity without comparing all of them,
-   so a group of copies costs a multiple of its size, and no link between
-   components is lost.
+   plus the lesser of their other tokens that any set shares.  They also share
+   no more than a set's tokens less the bits that only its bitmap has; bitmaps
+   have ``BITS`` places, so they rule out little between very large sets.  That
+   settles copies which lie just below the similarity without comparing all of
+   them, and no link between components is lost.
 
 Intersections are counted on the shared tokens of both sets, which is exact up
 to collisions of 64-bit hashes.
@@ -57,6 +58,8 @@ FREQUENT = 64
 SUBCLASSES = 8
 #: Sets of at most so many tokens may not reach the sum of rule 2; with those that may be similar to them, they index single tokens too.
 SMALL = 14
+#: Places of the bitmap of a set's tokens; a multiple of 64.
+BITS = 512
 #: Shingles that a task gathers before it sends them on.
 BLOCK = 2_000_000
 
@@ -220,8 +223,15 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PE
     return found, np.concatenate(rest)[place]
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The places that a set's tokens fall on, as ``BITS / 64`` integers. Each place that only one of two sets has stands for a token that the other lacks."""
+    there = np.zeros(BITS, dtype=np.uint8)
+    there[(mix(tokens + U64(2)) % U64(BITS)).astype(np.int64)] = 1
+    return np.packbits(there).view(np.int64)
+
+
 def candidates(pieces: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """Classes that may be similar to others: class, n, weight, tokens (shared ones, ascending), signatures."""
+    """Classes that may be similar to others: class, n, weight, tokens (shared ones, ascending), bits (their bitmap), signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,11 +241,11 @@ def candidates(pieces: DataFrame, percent: int = PERCENT, frequent: int = FREQUE
                 found, left = signatures(n, tokens, counts, percent, frequent)
                 if len(found):
                     pairs = [{"sig": x, "left": y} for x, y in zip(found.view(np.int64).tolist(), left.tolist(), strict=True)]
-                    rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "signatures": pairs})
+                    rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "bits": bitmap(tokens).tolist(), "signatures": pairs})
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.struct([("sig", pa.int64()), ("left", pa.int32())])))]))
+                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64())), ("signatures", pa.list_(pa.struct([("sig", pa.int64()), ("left", pa.int32())])))]))
 
-    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, signatures array<struct<sig:long,left:int>>")
+    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, bits array<long>, signatures array<struct<sig:long,left:int>>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -298,10 +308,12 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text",
     rows = rows.join(shared, (F.least("class", "class2") == F.col("_a")) & (F.greatest("class", "class2") == F.col("_b")), "left").select("sig", "left", "class", "n", "own", "both")
     rows = rows.join(known, F.col("class") == F.col("node"), "left").select("sig", "left", "class", "n", "own", "both", F.coalesce("root", "class").alias("root"))
     split = rows.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").drop("_low", "_high")
-    open_ = stored(spark, split, f"{folder}/open")
-    other = open_.select("sig", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "left", "own", "both", "root")))
+    open_ = stored(spark, split.join(found.select("class", "bits"), "class"), f"{folder}/open")
+    other = open_.select("sig", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "left", "own", "both", "root", "bits")))
     bound = f"(both is null or both2 is null or {enough('(least(both, both2) + least(own - both, own2 - both2))')})"
-    pairs = open_.join(other, "sig").where(f"class < class2 and root <> root2 and {near} and {bound}").select(*pair).distinct()
+    lacking = lambda x, y: " + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(BITS // 64))
+    bitwise = enough(f"least(own - ({lacking('bits', 'bits2')}), own2 - ({lacking('bits2', 'bits')}))")
+    pairs = open_.join(other, "sig").where(f"class < class2 and root <> root2 and {near} and {bound} and {bitwise}").select(*pair).distinct()
     rest = stored(spark, compared(pairs, sets, percent), f"{folder}/rest")
     edges = first.unionAll(rest).where("similar").select("a", "b", "shared")
     return edges

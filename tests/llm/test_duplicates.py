@@ -192,3 +192,16 @@ def test_one_and_no_document(spark):
     assert fingerprint.compare_edited(spark, df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, None), (1, "x y"), (1, "x y")], "doc_id long, text string")
     assert fingerprint.compare_edited(spark, odd).count() == 3
+
+
+def test_bitmaps_bound_what_two_sets_share():
+    rng = np.random.default_rng(11)
+    for size in (1, 5, 60, 400, 5000):
+        for kept in (0, 1, size // 2, size):
+            pool = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+            a, b = pool[:size], np.concatenate((pool[:kept], pool[size : 2 * size - kept]))
+            x, y = ngram_join.bitmap(a).view(np.uint64), ngram_join.bitmap(b).view(np.uint64)
+            assert len(x) == ngram_join.BITS // 64
+            bound = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
+            assert bound >= len(np.intersect1d(a, b))
+            assert size > 60 or kept or bound < size
