@@ -138,7 +138,7 @@ def _bfr(spark: SparkSession, sf_dir: str) -> bfr.BFR:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
-    out = bfr.BFR(spark, f"{base.rstrip('/')}/bfr-{bfr.uuid.uuid4().hex}", 3, rounds=20)
+    out = bfr.BFR(spark, f"{base.rstrip('/')}/bfr-{bfr.uuid.uuid4().hex}", 3)
     rows = on.points(spark, sf_dir).select("id", "vec")
     for k in range(2):  # all points, in two chunks
         out.feed(rows.where(F.pmod("id", F.lit(2)) == k))
@@ -180,7 +180,7 @@ QUERIES: dict[str, Query] = {
     "mahalanobis_assign": _mahalanobis,
     "cs_merge_pairs": _merge_pairs,
     "bfr_finalise": _finalise,
-    "kmeans_full": lambda s, d: km.kmeans(on.points(s, d).select("id", "vec"), K, rounds=50).select("id", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance")),
+    "kmeans_full": lambda s, d: km.kmeans(on.points(s, d).select("id", "vec"), K).select("id", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance")),
     "bfr_full": lambda s, d: _bfr(s, d).finalise(),
     "bfr_round_report": lambda s, d: _bfr(s, d).round_report(),
 }
