@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +44,24 @@ def count_sets(pairs: DataFrame, sets: DataFrame, by: list[str] | None = None) -
     return held.groupBy(*by, "items").agg(F.count(F.lit(1)).alias("support"))
 
 
+def _level(df: DataFrame) -> DataFrame:
+    """A level of sets without the plan that made it: each level names the last one three times, so plans would grow threefold with every level."""
+    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        return df.localCheckpoint()
+    path = f"{base.rstrip('/')}/sets-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def apriori(pairs: DataFrame, support: Column | int, max_size: int | None = None, by: list[str] | None = None) -> DataFrame:
     """All sets in at least so many baskets, level by level; the loop ends with the last level that has sets."""
     by = by or []
-    level = frequent_items(pairs, support, by).persist()
+    level = _level(frequent_items(pairs, support, by))
     out, size = level, 1
     while (max_size is None or size < max_size) and not level.isEmpty():
         found = count_sets(pairs, next_candidates(level, by), by)
-        level = found.where(F.col("support") >= support).select(*by, "items", "support").persist()
+        level = _level(found.where(F.col("support") >= support).select(*by, "items", "support"))
         out, size = out.unionAll(level), size + 1
     return out
 

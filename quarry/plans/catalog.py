@@ -17,7 +17,7 @@ from quarry.sources import writers
 
 YEAR, TOP, HEAVY, PARTS, STATE = 1997, 10, 40, 8, "NATION_3"
 #: A set is frequent in one of 220 baskets.
-SHARE, MAX_SIZE, SON_PARTS = 220, 3, 4
+SHARE, SON_PARTS = 220, 4
 K = 10
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,16 +41,16 @@ def _level(k: int) -> Query:
 
 
 def _son_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(bk.son_candidates(on.baskets(spark, sf_dir), _support(spark, sf_dir), F.pmod("basket", F.lit(SON_PARTS)), MAX_SIZE))
+    return _shown(bk.son_candidates(on.baskets(spark, sf_dir), _support(spark, sf_dir), F.pmod("basket", F.lit(SON_PARTS))))
 
 
 def _son(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(bk.son(on.baskets(spark, sf_dir), _support(spark, sf_dir), F.pmod("basket", F.lit(SON_PARTS)), MAX_SIZE))
+    return _shown(bk.son(on.baskets(spark, sf_dir), _support(spark, sf_dir), F.pmod("basket", F.lit(SON_PARTS))))
 
 
 def _itemset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, support = on.baskets(spark, sf_dir), _support(spark, sf_dir)
-    found = bk.son_candidates(pairs, support, F.pmod("basket", F.lit(SON_PARTS)), MAX_SIZE).persist()
+    found = bk.son_candidates(pairs, support, F.pmod("basket", F.lit(SON_PARTS))).persist()
     return writers.itemset_report(found, bk.count_sets(pairs, found).where(F.col("support") >= support))
 
 
