@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import free, mix, partitions, shared_dir, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, shingles, squeeze, squeeze_sorted
@@ -319,8 +320,8 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text",
     return edges
 
 
-def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """One row for each document: key, n_shingles, class, component_id (the least key reachable by links)."""
+def _rooted(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """key, n_shingles, class, root (a name of the class's component), component_id of each document."""
     folder = shared_dir(spark, "ngrams")
     of = stored(spark, members(docs, key, text, k), f"{folder}/members")
     roots = components(spark, links(spark, docs, folder, text, k, percent, frequent), f"{folder}/components")
@@ -329,13 +330,38 @@ def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     # only classes with copies or links need a look-up
     several = rooted.where("copies > 1 or linked").unionAll(rooted.join(roots.select(F.col("root").alias("class")).distinct(), "class", "left_semi")).distinct()
     by_root = several.groupBy("root").agg(F.min("first").alias("component"))
-    look = several.select("class", "root").distinct().join(by_root, "root").select(F.col("class").alias("_class"), "component")
-    return of.join(look, F.col("class") == F.col("_class"), "left").select(F.col("key").alias(key), "n_shingles", "class", F.coalesce("component", "key").alias("component_id"))
+    look = several.select("class", "root").distinct().join(by_root, "root").select(F.col("class").alias("_class"), "root", "component")
+    return of.join(look, F.col("class") == F.col("_class"), "left").select(F.col("key").alias(key), "n_shingles", "class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "key").alias("component_id"))
+
+
+def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """One row for each document: key, n_shingles, class, component_id (the least key reachable by links)."""
+    return _rooted(spark, docs, key, text, k, percent, frequent).drop("root")
+
+
+def _with_class(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the class of each row's set; null for the empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, text):
+            classes = pa.array([class_of(s) if len(s) else None for s in _sets(texts, SHINGLE)], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def component_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that are linked to one with a smaller key; repeated rows of a key stay one row, rows with a null key all stay."""
-    (name,) = free(docs.columns, "_gone")
-    gone = join(spark, docs, key, text).where(F.col("component_id") < F.col(key)).select(F.col(key).alias(name)).distinct()
-    kept = docs.join(gone, F.col(key) == F.col(name), "left_anti")
-    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(kept.where(F.col(key).isNull()))
+    """The documents without those that are linked to one with a smaller key; of linked rows of one key the one with the least class stays, unlinked ones all stay, and so do rows with a null key.
+
+    Rows of a repeated key are told apart by their class, those with the empty set by their text.
+    """
+    name, mark, empty, own = free(docs.columns, "_gone", "_mark", "_empty", "_class")
+    of = stored(spark, _rooted(spark, docs, key, text).where(F.col(key).isNotNull()), f"{shared_dir(spark, 'ngrams')}/rooted")
+    several = of.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias(name))
+    gone = of.where(F.col("component_id") < F.col(key)).select(F.col(key).alias(name)).distinct()
+    kept = docs.join(gone.unionAll(several).distinct(), F.col(key) == F.col(name), "left_anti")  # rows with a null key too
+    stay = of.where(F.col("component_id") == F.col(key)).groupBy(key, "root").agg(F.min("class").alias(mark)).select(F.col(key).alias(name), mark)
+    rows = _with_class(docs.join(several, F.col(key) == F.col(name), "left_semi"), text, own)
+    rows = rows.join(stay, (F.col(key) == F.col(name)) & F.col(own).eqNullSafe(F.col(mark)), "left_semi")
+    rows = rows.withColumn(empty, F.when(F.col(own).isNull(), F.col(text))).dropDuplicates([key, own, empty])
+    return kept.unionAll(rows.select(docs.columns))

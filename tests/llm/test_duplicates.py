@@ -205,3 +205,12 @@ def test_bitmaps_bound_what_two_sets_share():
             bound = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
             assert bound >= len(np.intersect1d(a, b))
             assert size > 60 or kept or bound < size
+
+
+def test_rows_of_a_repeated_id_stay_unless_linked(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    data = [(1, one), (2, one), (2, two), (3, three), (3, three), (3, "x " + three), (4, None), (None, two), (None, two)]
+    kept = ngram_join.component_filter(spark, spark.createDataFrame(data, "doc_id long, text string"))
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert [x for x in got if x[0] != 3] == [(0, two), (0, two), (1, one), (2, two), (4, "")]
+    assert [x[1] in (three, "x " + three) for x in got if x[0] == 3] == [True]
