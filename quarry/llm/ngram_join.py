@@ -57,7 +57,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT = 64
 SUBCLASSES = 8
-#: Sets of at most so many tokens may not reach the sum of rule 2; with those that may be similar to them, they index single tokens too.
+#: Sets of at most so many tokens may not reach the sum of rule 2; with those that may be similar to them, they index single tokens too. See ``small_size`` for lower similarities.
 SMALL = 14
 #: Places of the bitmap of a set's tokens; a multiple of 64.
 BITS = 512
@@ -70,6 +70,11 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
+def small_size(percent: int = PERCENT, subclasses: int = SUBCLASSES) -> int:
+    """``SMALL``, or the size of the largest partner of the largest set that needs no more shared tokens than there are subclasses."""
+    return max(SMALL, 100 * (100 * subclasses // max(1, percent)) // max(1, percent))
+
+
 def class_of(tokens: np.ndarray) -> int:
     """A 64-bit name of a set: equal for equal sets."""
     return int(mix(mix(tokens ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(tokens))).view(np.int64)[0])
@@ -196,7 +201,7 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PE
     """
     sum_needed = n - needed(n, percent) + 1
     alone = n - len(tokens)
-    small = n <= SMALL
+    small = n <= small_size(percent, subclasses)
     if alone >= sum_needed and not small:
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
     rare = int(np.searchsorted(counts, frequent, side="right"))

@@ -214,3 +214,16 @@ def test_rows_of_a_repeated_id_stay_unless_linked(spark):
     got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
     assert [x for x in got if x[0] != 3] == [(0, two), (0, two), (1, one), (2, two), (4, "")]
     assert [x[1] in (three, "x " + three) for x in got if x[0] == 3] == [True]
+
+
+def test_similar_sets_share_a_signature_at_half():
+    groups = {}
+    for x in np.arange(1, 1000, dtype=np.uint64):
+        groups.setdefault(int(ngram_join.mix(np.array([x]))[0] % np.uint64(8)), []).append(x)
+    shared = np.sort(np.array([g[0] for g in groups.values()], dtype=np.uint64))
+    others = np.sort(np.array([g[1] for g in groups.values()], dtype=np.uint64))
+    few, many = np.full(8, 65), np.full(8, 66)
+    small, _ = ngram_join.signatures(8, shared, many, 50)
+    large, _ = ngram_join.signatures(16, np.concatenate((others, shared)), np.concatenate((few, many)), 50)
+    assert len(np.intersect1d(small, large))
+    assert ngram_join.small_size() == ngram_join.SMALL
