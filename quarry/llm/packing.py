@@ -8,7 +8,9 @@ budget.
 
 Lengths are words, ``[^\\x20\\x09-\\x0D]+``.  To bound the histogram whatever the
 input, lengths over 4096 are rounded up to 8 significant bits for the choice of
-boundaries; those below are exact.  The longest length is always a boundary.
+boundaries, and ``bucket_length`` is the rounded boundary; those below are
+exact.  The longest length, so rounded, is always a boundary.  ``n_tokens`` and
+the budget count words, not tokens of a vocabulary.
 
 Defined cases: null and empty texts have length 0 and share the first bucket; a
 document longer than the budget forms a batch of its own; equal lengths share
