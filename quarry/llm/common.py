@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,11 +48,15 @@ def stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of a table as the planner estimates them; 0 if it cannot."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size > 1 << 60 else size
+
+
 def partitions(spark: SparkSession, df: DataFrame, most: int = 1 << 20) -> int:
     """How many partitions a shuffle of this table needs so that each fits in memory."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = 0 if size > 1 << 60 else size  # unknown to the planner
-    return int(min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))))
+    return int(min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size_of(df) // PARTITION_BYTES))))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -79,6 +83,12 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def without(fields: list[T.StructField], names: Iterable[str]) -> list[T.StructField]:
+    """The columns that are named like none of the names; Spark takes names as equal whatever the case of their letters."""
+    taken = {n.lower() for n in names}
+    return [f for f in fields if f.name.lower() not in taken]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... of each piece, one piece after another."""
     ends = np.cumsum(lengths)

@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprint, ngram_join, substring, windows
+from quarry.llm import common, fingerprint, ngram_join, substring, windows
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -46,33 +46,61 @@ def brute_removed(docs, k=13):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 3])
+@pytest.mark.parametrize("batches", [1, 2, 5])
 def test_substring_dedup_is_brute_force(spark, batches):
     docs = corpus(1)
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumn("kept", F.lit(1)).withColumn("_key", F.lit("clash"))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.dedup(spark, df, batches=batches).collect()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5).withColumn("Kept", F.lit(1)).withColumn("_key", F.lit("clash"))
+    out = substring.dedup(spark, df, batches=batches)
+    assert out.columns == ["doc_id", "text", "_key", "n_words", "n_removed", "kept", "removed"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out.collect()}
     assert got == brute_removed(docs)
     assert any(n for _, n, _ in got.values())
+    for r in out.collect():
+        words = (r.text or "").split()
+        gone = {j for s in r.removed for j in range(s.start, s.stop)}
+        assert len(gone) == r.n_removed and " ".join(w for j, w in enumerate(words) if j not in gone) == r.kept
 
 
 def test_substring_dedup_of_odd_rows(spark):
     long = " ".join(WORDS[:20])
-    df = spark.createDataFrame([(1, long), (1, long), (None, long), (9, long)], "doc_id long, text string")
-    assert rows(substring.dedup(spark, df).select("doc_id", "n_removed")) == sorted([(1, 0), (1, 0), (None, 0), (9, 20)], key=repr)
+    df = spark.createDataFrame([(1, long), (1, long), (None, long), (9, long), (9, "x " + long), (10, None)], "doc_id long, text string")
+    assert rows(substring.dedup(spark, df).select("doc_id", "n_removed")) == sorted([(1, 0), (1, 0), (None, 0), (9, 20), (9, 20), (10, 0)], key=repr)
     assert substring.dedup(spark, df.limit(0)).count() == 0
 
 
-def test_index_is_incremental_and_compacts(spark):
-    docs = [d for d in corpus(2) if d[0] is not None]
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_index_is_incremental_and_compacts(spark, pieces):
+    docs = corpus(2)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    from quarry.llm.common import shared_dir
-
-    index = substring.WindowIndex(spark, shared_dir(spark, "t"), 3)
-    low = index.add(df.where("doc_id < 90")).collect()
-    index.compact()
-    high = index.add(df.where("doc_id >= 90")).collect()
-    whole = substring.WindowIndex(spark, shared_dir(spark, "t"), 3).add(df).collect()
-    assert sorted((r.key, bytes(r.hashes)) for r in low + high) == sorted((r.key, bytes(r.hashes)) for r in whole)
+    index = substring.WindowIndex(spark, common.shared_dir(spark, "t"), 3, pieces=pieces)
+    got = {}
+    for low, high in ((0, 40), (40, 90), (90, 130), (130, 10**6)):
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in index.add(df.where(f"doc_id >= {low} and doc_id < {high}")).collect()}
+        assert len(index.runs) < substring.TIER
+    assert got == brute_removed(docs)
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_windows_of_one_hash_are_told_apart_by_their_words(spark, bits):
+    """With so few bits nearly all hits are collisions: a hit that is no repeat removes nothing."""
+    docs = corpus(4)
+    want = brute_removed(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for r in substring.dedup(spark, df, bits=bits).collect():
+        n, removed, kept = want[r.doc_id]
+        words = (dict(docs)[r.doc_id] or "").split()
+        left = [w for j, w in enumerate(words) if not any(s.start <= j < s.stop for s in r.removed)]
+        assert r.n_words == n and r.n_removed <= removed
+        it = iter(left)
+        assert all(w in it for w in kept.split())  # what is kept stays, in its order
+    one = [(i, " ".join(f"d{i}w{j}" for j in range(60))) for i in range(20)]
+    assert {r.n_removed for r in substring.dedup(spark, spark.createDataFrame(one, "doc_id long, text string").repartition(3), bits=bits).collect()} == {0}
+
+
+def test_words_of_a_span_are_compared_one_by_one():
+    a, b = list(b"abcdefgh"), list(b"abcdXfgh")
+    assert substring.equal_windows(a, a, 3).tolist() == [True] * 6
+    assert substring.equal_windows(a, b, 3).tolist() == [True, True, False, False, False, True]
 
 
 def test_squeeze_round_trip():
