@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import shared_dir, stored
 from quarry.llm import bpe, fingerprint, media, ngram_join, packing, shard, substring, token_counts, tokenfile, toxicity
 
 
@@ -118,9 +119,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every text before and after three edits, with the pieces that were encoded again."""
-    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("edits", token_counts.trial_edits("text"))
-    return token_counts.edited_counts(docs, tokenizer_path()).select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+    """Token counts of every text before and after three edits, from kept trees, with the leaves that were encoded again."""
+    kept = token_counts.trees(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+    kept = stored(spark, kept, f"{shared_dir(spark, 'trees')}/kept").withColumn("edits", token_counts.trial_edits("text"))
+    return token_counts.edited_counts(kept, tokenizer_path(), tree="tree").select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -106,24 +107,69 @@ def test_token_files_round_trip(spark, library):
     assert tokenfile.read(spark, tokenfile.write(spark, df.limit(0), PATH, 1, tokenfile.folder(spark))).count() == 0
 
 
-def test_edits_count_as_a_fresh_encoding(library):
+def heights(t):
+    if t is None or t.left is None:
+        return 0
+    a, b = heights(t.left), heights(t.right)
+    assert abs(a - b) <= 1 and t.height == 1 + max(a, b)
+    return t.height
+
+
+@pytest.mark.parametrize("letters", ["ab c\n.d'é ", "ab.c'd9sé<|", "一二。三,é", LETTERS])
+def test_edits_count_as_a_fresh_encoding(library, letters):
     count = token_counts.counter(PATH)
     r = random.Random(8)
-    for _ in range(150):
-        text = "".join(r.choices("ab c\n.d'é ", k=r.randint(0, 400))).encode()
-        pieces = token_counts.pieces_of(text)
-        assert b"".join(pieces) == text
-        tree = token_counts.TokenTree(pieces, count(pieces), count)
-        for _ in range(6):
-            shown = text.decode()
-            a = r.randint(0, len(shown))
-            b = r.choice([a, min(len(shown), a + r.randint(0, 60)), len(shown)])
-            new = "".join(r.choices("xy z\t", k=r.randint(0, 12)))
-            start, stop = len(shown[:a].encode()), len(shown[:b].encode())
-            tree.replace(start, stop, new.encode())
-            text = text[:start] + new.encode() + text[stop:]
-            assert tree.text() == text
-            assert tree.total == len(library.encode(text.decode(), add_special_tokens=False).ids)
+    for _ in range(60):
+        text = "".join(r.choices(letters, k=r.choice([0, 3, 300, 1500])))
+        assert b"".join(token_counts.leaves_of(text.encode())) == text.encode()
+        tree = token_counts.TokenTree.fresh(text.encode(), count)
+        for k in range(8):
+            a = r.randint(0, len(text))
+            b = r.choice([a, min(len(text), a + r.randint(0, 60)), r.randint(a, len(text)), len(text)])
+            new = "".join(r.choices([*letters, "<|endoftext|>", "<", "\u0301", "'s"], k=r.choice([0, 1, 12, 700])))
+            tree.replace(a, b, new.encode())
+            text = text[:a] + new + text[b:]
+            assert tree.text() == text.encode()
+            assert tree.total == len(library.encode(text, add_special_tokens=False).ids)
+            assert tree.root is None or tree.root.chars == len(text)
+            heights(tree.root)
+            if k == 4:
+                tree = token_counts.TokenTree.kept(text.encode(), tree.table(), count)
+
+
+def test_long_texts_are_cut_in_linear_time():
+    count = token_counts.counter(PATH)
+    for text in (b" " * 1_000_000, b"x" * 1_000_000, b"ab1!" * 250_000, b"<" * 1_000_000, "。五".encode() * 150_000):
+        start = time.perf_counter()
+        pieces = token_counts.leaves_of(text)
+        assert time.perf_counter() - start < 1 and b"".join(pieces) == text
+        assert len(pieces) > 1000 or text[:1] in b"x<"
+    tree = token_counts.TokenTree.fresh(b"one two three " * 5000, count)
+    tree.replace(35_000, 35_000, b"many more words " * 10_000)
+    assert max(t.bytes for t in tree.leaves()) < 3 * token_counts.LEAF
+    done = tree.encoded
+    start = time.perf_counter()
+    for k in range(200):
+        tree.replace(1000 * k, 1000 * k + 1, b"y")
+    assert tree.encoded - done <= 600 and time.perf_counter() - start < 1
+
+
+def test_kept_trees_are_not_encoded_again(spark):
+    df = spark.createDataFrame([(1, "one two three " * 200), (2, None), (3, "")], "doc_id long, text string").withColumn("TREE", F.lit("clash"))
+    kept = token_counts.trees(df, PATH)
+    assert kept.columns == ["doc_id", "text", "n_tokens", "tree"]
+    for r in kept.collect():
+        def count(pieces):
+            raise AssertionError
+
+        tree = token_counts.TokenTree.kept((r.text or "").encode(), bytes(r.tree), count)
+        assert tree.total == r.n_tokens and tree.text() == (r.text or "").encode()
+    edits = kept.withColumn("edits", token_counts.trial_edits("text"))
+    one = token_counts.edited_counts(edits, PATH, tree="tree").drop("tree").collect()
+    assert one == token_counts.edited_counts(edits, PATH).drop("tree").collect()
+    again = token_counts.edited_counts(edits, PATH, tree="tree").select("doc_id", F.col("edited").alias("text"), F.col("edited_tree").alias("tree")).withColumn("edits", token_counts.trial_edits("text"))
+    for r in token_counts.edited_counts(again, PATH, tree="tree").collect():
+        assert r.n_tokens_edited == token_counts.TokenTree.fresh(r.edited.encode(), token_counts.counter(PATH)).total
 
 
 def test_edit_column(spark, library):
