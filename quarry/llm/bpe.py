@@ -14,7 +14,7 @@ bytes of a batch of id lists are gathered at once.
 Defined cases: null text is encoded as the empty text; empty text has no ids
 and decodes to the empty text; rows are independent, so ties and repeated rows
 do not matter; extra columns are kept, but columns named like an output column
-are replaced; ids out of the vocabulary raise ``IndexError`` when decoded.
+(in any case of letters) are replaced; ids out of the vocabulary raise ``IndexError`` when decoded.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quarry.llm.common import ragged, slices
+from quarry.llm.common import ragged, slices, without
 
 #: The white space of the vocabulary's patterns (Unicode White_Space).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -247,12 +247,13 @@ def memo(path: str) -> Memo:
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
-    kept = [n for n in batch.schema.names if n not in columns]
+    taken = {n.lower() for n in columns}
+    kept = [n for n in batch.schema.names if n.lower() not in taken]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *columns.values()], names=[*kept, *columns])
 
 
 def _extended(df: DataFrame, **types: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name not in types), *(T.StructField(n, t) for n, t in types.items())])
+    return T.StructType([*without(df.schema.fields, types), *(T.StructField(n, t) for n, t in types.items())])
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -129,8 +129,8 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return number(F.coalesce(key.cast("long"), F.lit(int(bounds[0]))))
 
 
-def ranked(df: DataFrame, group: str, key: str, n: int, out: str) -> DataFrame:
-    """Adds a number from 0 on, without gaps, to the rows of each group, in the order of the key (nulls first, equal keys in any order).
+def ranked(df: DataFrame, group: str, key: str, n: int, out: str, *ties: str) -> DataFrame:
+    """Adds a number from 0 on, without gaps, to the rows of each group, in the order of the key (nulls first), of equal ones in that of the other columns.
 
     No group is gathered in one task: it is cut into ranges of the key, whose
     sizes are counted and summed up first.
@@ -145,7 +145,7 @@ def ranked(df: DataFrame, group: str, key: str, n: int, out: str) -> DataFrame:
         .withColumn(before_, F.coalesce(F.sum(count).over(Window.partitionBy(group_).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop(count)
     )
-    inner = cut.withColumn(rank, F.row_number().over(Window.partitionBy(group, range_).orderBy(F.col(key).asc_nulls_first())) - 1)
+    inner = cut.withColumn(rank, F.row_number().over(Window.partitionBy(group, range_).orderBy(F.col(key).asc_nulls_first(), *ties)) - 1)
     return (
         inner.join(before, F.col(group).eqNullSafe(F.col(group_)) & (F.col(range_) == F.col(at)))
         .withColumn(out, (F.col(before_) + F.col(rank)).cast("long"))

@@ -16,7 +16,9 @@ Defined cases: null text counts as empty; a text without words has the
 fingerprint of all zeros, which is 1 like itself and 0 like any other; equal
 texts have equal fingerprints; a table's next document follows in the order of
 (doc_id, text), nulls first, and after the last comes the first (one row is its
-own successor); an empty table gives no rows; other columns are dropped.
+own successor); an empty table gives no rows; other columns are dropped by
+``compare_edited`` and kept by ``fingerprint`` unless named like its output
+column, in any case of letters.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import mix, partitions, range_bounds, slices
+from quarry.llm.common import mix, partitions, range_bounds, slices, without
 
 SAMPLES = 64
 #: Rows of the tables of draws; r and c have rows of their own, so a term has one of ROWS * ROWS pairs.
 ROWS = 8192
-SEED = 553
+#: Terms of a set that are valued at a time (256 bytes each).
+MANY = 65_536
+SEED = 20_011
 
 
 @lru_cache(maxsize=1)
@@ -90,10 +94,24 @@ def terms(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashes[first], np.add.reduceat(lengths[order], first) if len(words) else lengths
 
 
+def chosen(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The tags of one set, however many terms it has: the least value of each sample is kept from block to block."""
+    least, place = np.full(SAMPLES, np.inf, dtype=np.float32), np.zeros(SAMPLES, dtype=np.int64)
+    for k in range(0, len(hashes), MANY):
+        table = values(hashes[k : k + MANY], weights[k : k + MANY])
+        at = table.argmin(axis=1)
+        low = table[np.arange(SAMPLES), at]
+        place, least = np.where(low < least, at + k, place), np.minimum(low, least)
+    return tags(hashes[place], weights[place])
+
+
 def fingerprints(texts: list[bytes]) -> np.ndarray:
-    """A row of SAMPLES values for each text; zeros where it has no words. A weighted term that several texts have is valued once."""
+    """A row of SAMPLES values for each text; zeros where it has no words. A weighted term that several texts have is valued once, but for texts of very many terms."""
     out = np.zeros((len(texts), SAMPLES), dtype=np.uint16)
     sets = list(terms(texts))
+    for k, (own, w) in enumerate(sets):
+        if len(own) > MANY:
+            out[k], sets[k] = chosen(own, w), (own[:0], w[:0])
     hashes, weights = (np.concatenate([s[i] for s in sets]) if sets else np.zeros(0) for i in (0, 1))
     if not len(hashes):
         return out
@@ -119,7 +137,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of a text column."""
-    kept = [f for f in df.schema.fields if f.name != out]
+    kept = without(df.schema.fields, [out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text, 1 << 20):

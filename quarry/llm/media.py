@@ -4,11 +4,15 @@
   upper bits zero, between ``LEAST`` and ``MOST`` bytes after the last cut, so
   equal passages give equal chunks wherever they stand.
 * A task appends chunks that are new to it to *packs*: files of compressed
-  chunks in the shared folder.  Spark joins then pick one place for each chunk
-  digest over all packs; the other copies are dead and ``compact`` drops them.
-* A medium is an ordered list of chunk digests.  Reading joins the list with
-  the places, fetches the chunks, checks each against its digest, and the whole
-  against the digest that was taken when it was written.
+  chunks in the shared folder.  An aggregation then picks one place for each
+  chunk digest over all packs; the other copies are dead, and ``compact``
+  rewrites the packs without them and deletes the old ones.
+* A medium is an ordered list of chunk digests.  Media that were written one
+  after another are read by one task: it asks once for each digest of all of
+  them (so that a chunk in most media is no hot key), a Spark join gives the
+  places, and places that lie near each other in a pack are fetched in one read.
+  Each chunk is checked against its digest, and each medium against the digest
+  that was taken when it was written.
 
 The stored form of a medium, which ``media_bytes`` and ``media_sha256``
 describe, is its container: magic, counts, the table of chunk lengths and
@@ -27,11 +31,11 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,10 +48,12 @@ LEAST, MOST = 512, 8192
 #: Upper bits of the gear hash that are zero at a cut: one place in 2048.
 CUT_BITS = 11
 PACK_BYTES = 8 << 20
-#: Rows in a row that are read by one task.
-READ_ROWS = 1024
+#: Media, and bytes of them, that are read together.
+READ_ROWS, READ_BYTES = 1024, 8 << 20
+#: Places at most so far apart are fetched in one read.
+GAP = 64 << 10
 MAGIC = b"QMEDIA01"
-SEED = 553
+SEED = 20_011
 _GEAR = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -109,7 +115,7 @@ def features(data: bytes) -> str:
 
 
 def write(spark: SparkSession, df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Stores a table's payloads; the media (key, n_bytes, media_sha256, chunks) and the places of their chunks (digest, pack, at, size)."""
+    """Stores a table's payloads; the media (key, n_bytes, media_sha256, near, chunks) and the places of their chunks (digest, pack, at, size). Media of one ``near`` are read together."""
     open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +124,7 @@ def write(spark: SparkSession, df: DataFrame, folder: str, key: str = "doc_id",
         blobs: list[bytes] = []
         known: dict[bytes, tuple[str, int, int]] = {}
         size, pack = 0, uuid.uuid4().hex
+        near, rows_near, bytes_near = uuid.uuid4().int >> 65, 0, 0
 
         def flush() -> None:
             nonlocal size, pack
@@ -141,16 +148,19 @@ def write(spark: SparkSession, df: DataFrame, folder: str, key: str = "doc_id",
                         blobs.append(blob)
                         size += len(blob)
                     refs.append({"digest": d, "pack": place[0], "at": place[1], "size": place[2]})
-                rows.append({"key": doc, "n_bytes": len(t or b""), "media_sha256": hashlib.sha256(container(digests, chunks)).hexdigest(), "chunks": refs})
+                if rows_near >= READ_ROWS or rows_near and bytes_near + len(p) > READ_BYTES:
+                    near, rows_near, bytes_near = uuid.uuid4().int >> 65, 0, 0
+                rows_near, bytes_near = rows_near + 1, bytes_near + len(p)
+                rows.append({"key": doc, "n_bytes": len(t or b""), "media_sha256": hashlib.sha256(container(digests, chunks)).hexdigest(), "near": near, "chunks": refs})
                 if size >= PACK_BYTES:
                     flush()
             ref = pa.struct([("digest", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int32())])
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("chunks", pa.list_(ref))]))
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("media_sha256", pa.string()), ("near", pa.int64()), ("chunks", pa.list_(ref))]))
         if blobs:
             flush()
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    media = stored(spark, rows.mapInArrow(run, "key long, n_bytes long, media_sha256 string, chunks array<struct<digest:binary,pack:string,at:long,size:int>>"), f"{folder}/media")
+    media = stored(spark, rows.mapInArrow(run, "key long, n_bytes long, media_sha256 string, near long, chunks array<struct<digest:binary,pack:string,at:long,size:int>>"), f"{folder}/media")
     places = media.select(F.explode("chunks").alias("c")).groupBy("c.digest").agg(F.min(F.struct("c.pack", "c.at", "c.size")).alias("place")).select("digest", "place.*")
     return media, places
 
@@ -162,81 +172,113 @@ def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str,
     in its place: payload_bytes, payload_sha256, tail_crc32 and feature.
     """
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = {(near, d): None for near, digests in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for d in digests}
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in wanted], type=pa.int64()), pa.array([d for _, d in wanted], type=pa.binary())], names=["near", "digest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         grow = zstandard.ZstdDecompressor()
-        files: OrderedDict[str, pa.NativeFile] = OrderedDict()
-        recent: dict[tuple[str, int], bytes] = {}
-
-        def fetch(pack: str, at: int, size: int) -> bytes:
-            if (known := recent.get((pack, at))) is not None:
-                return known
-            if pack not in files:
-                if len(files) >= 64:
-                    files.popitem(last=False)[1].close()
-                files[pack] = fs.open_input_file(f"{base}/{pack}.pack")
-            files.move_to_end(pack)
-            if len(recent) >= 2048:
-                recent.clear()
-            data = recent[pack, at] = grow.decompress(files[pack].read_at(size, at), max_output_size=MOST)
-            return data
-
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                data = []
-                for stated, refs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    refs.sort(key=lambda r: r["seq"])
-                    chunks = [fetch(r["pack"], r["at"], r["size"]) for r in refs]
-                    digests = [hashlib.sha256(c).digest() for c in chunks]
-                    if digests != [r["digest"] for r in refs] or hashlib.sha256(container(digests, chunks)).hexdigest() != stated:
-                        raise ValueError("a stored medium does not match its digests")
-                    data.append(b"".join(chunks))
-                sizes = [len(container(r, [b""] * len(r))) + len(p) for r, p in zip(([x["digest"] for x in refs] for refs in batch.column(3).to_pylist()), data, strict=True)]
-                columns = {"key": batch.column(0), "n_bytes": batch.column(1), "media_sha256": batch.column(2), "media_bytes": pa.array(sizes, type=pa.int64())}
-                if described:
-                    columns["payload_bytes"] = pa.array([len(p) for p in data], type=pa.int64())
-                    columns["payload_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in data], type=pa.string())
-                    columns["tail_crc32"] = pa.array([zlib.crc32(p[-16:]) for p in data], type=pa.int64())
-                    columns["feature"] = pa.array([features(p) for p in data], type=pa.string())
-                else:
-                    columns["payload"] = pa.array(data, type=pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
-        for f in files.values():
-            f.close()
-
-    # rows that were written one after another lie in the same packs and are read together
-    row = F.monotonically_increasing_id()
-    numbered = media.withColumn("row", row).withColumn("near", F.expr(f"(row >> 33) * 4194304 + (row & 8589934591) div {READ_ROWS}"))
-    refs = numbered.select("near", "row", "key", "n_bytes", "media_sha256", F.posexplode("chunks").alias("seq", "c")).select("near", "row", "key", "n_bytes", "media_sha256", "seq", F.col("c.digest").alias("digest"))
-    listed = (
-        refs.join(places, "digest")
-        .repartition(partitions(spark, media), "near")
-        .groupBy("near", "row")
-        .agg(F.first("key").alias("key"), F.first("n_bytes").alias("n_bytes"), F.first("media_sha256").alias("media_sha256"), F.collect_list(F.struct("seq", "digest", "pack", "at", "size")).alias("refs"))
-        .sortWithinPartitions("near", "row")
-    )
+        blobs: dict[bytes, bytes] = {}
+        places: dict[bytes, tuple[str, int, int]] = {}
+        now: int | None = None
+
+        def fetch() -> None:
+            """The chunks of a group, in as few reads as their places allow."""
+            blobs.clear()
+            todo = sorted((pack, at, size, digest) for digest, (pack, at, size) in places.items())
+            i = 0
+            while i < len(todo):
+                pack, start, _, _ = todo[i]
+                j, stop = i, start
+                while j < len(todo) and todo[j][0] == pack and todo[j][1] <= stop + GAP:
+                    stop = todo[j][1] + todo[j][2]
+                    j += 1
+                with fs.open_input_file(f"{base}/{pack}.pack") as f:
+                    data = f.read_at(stop - start, start)
+                for _, at, size, digest in todo[i:j]:
+                    blobs[digest] = data[at - start : at - start + size]
+                i = j
+
+        def rebuilt(rows: list[tuple]) -> pa.RecordBatch:
+            data, sizes = [], []
+            for *_, stated, digests in rows:
+                chunks = [grow.decompress(blobs[d], max_output_size=MOST) for d in digests]
+                whole = container(digests, chunks)
+                if [hashlib.sha256(c).digest() for c in chunks] != digests or hashlib.sha256(whole).hexdigest() != stated:
+                    raise ValueError("a stored medium does not match its digests")
+                data.append(b"".join(chunks))
+                sizes.append(len(whole))
+            columns = {"key": pa.array([r[0] for r in rows], type=pa.int64()), "n_bytes": pa.array([r[1] for r in rows], type=pa.int64()), "media_sha256": pa.array([r[2] for r in rows], type=pa.string()), "media_bytes": pa.array(sizes, type=pa.int64())}
+            if described:
+                columns["payload_bytes"] = pa.array([len(p) for p in data], type=pa.int64())
+                columns["payload_sha256"] = pa.array([hashlib.sha256(p).hexdigest() for p in data], type=pa.string())
+                columns["tail_crc32"] = pa.array([zlib.crc32(p[-16:]) for p in data], type=pa.int64())
+                columns["feature"] = pa.array([features(p) for p in data], type=pa.string())
+            else:
+                columns["payload"] = pa.array(data, type=pa.binary())
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            held: list[tuple] = []
+            for near, key, n_bytes, stated, digests, pack, at, size in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if near != now or held and (pack is not None or len(held) >= 64):
+                    if held:
+                        yield rebuilt(held)
+                        held = []
+                if near != now:
+                    now = near
+                    places.clear(), blobs.clear()
+                if pack is not None:
+                    places[digests[0]] = (pack, at, size)
+                    continue
+                if not blobs:
+                    fetch()
+                held.append((key, n_bytes, stated, digests))
+            if held:
+                yield rebuilt(held)
+
+    lists = media.select("near", "key", "n_bytes", "media_sha256", F.transform("chunks", lambda c: c["digest"]).alias("digests"))
+    found = lists.select("near", "digests").mapInArrow(ask, "near long, digest binary").join(places, "digest")
+    place = found.select("near", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("media_sha256"), F.array("digest").alias("digests"), "pack", "at", "size")
+    asked = lists.select("*", F.lit(None).cast("string").alias("pack"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("size"))
+    # the places of a group come before its media
+    ordered = place.unionAll(asked).repartition(partitions(spark, media), "near").sortWithinPartitions("near", F.asc_nulls_last("pack"))
     shown = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" if described else "payload binary"
-    return listed.select("key", "n_bytes", "media_sha256", "refs").mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, " + shown)
+    return ordered.mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, " + shown)
 
 
 def compact(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str) -> DataFrame:
-    """Rewrites the packs with live chunks only; the new places. The old packs are left to be deleted once nothing reads them."""
+    """Rewrites the packs with live chunks only and deletes the old ones; the new places, which alone are valid from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         for batch in batches:
             for old, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 new, at, rows = uuid.uuid4().hex, 0, []
-                with fs.open_input_file(f"{base}/{old}.pack") as src, fs.open_output_stream(f"{base}/{new}.pack") as out:
+                with fs.open_input_file(f"{base}/{old}.pack") as f:
+                    src = f.read()  # not much over ``PACK_BYTES``, unless one text is longer
+                with fs.open_output_stream(f"{base}/{new}.pack") as out:
                     for r in sorted(refs, key=lambda r: r["at"]):
-                        out.write(src.read_at(r["size"], r["at"]))
+                        out.write(src[r["at"] : r["at"] + r["size"]])
                         rows.append({"digest": r["digest"], "pack": new, "at": at, "size": r["size"]})
                         at += r["size"]
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("digest", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int32())]))
 
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(folder)
+        for batch in batches:
+            for old in batch.column(0).to_pylist():
+                if fs.get_file_info(f"{base}/{old}.pack").type == pafs.FileType.File:  # not yet deleted by another attempt
+                    fs.delete_file(f"{base}/{old}.pack")
+            yield batch
+
     live = places.groupBy("pack").agg(F.collect_list(F.struct("digest", "at", "size")).alias("refs"))
-    return stored(spark, live.mapInArrow(run, "digest binary, pack string, at long, size int"), f"{folder}/places-{uuid.uuid4().hex}")
+    out = stored(spark, live.mapInArrow(run, "digest binary, pack string, at long, size int"), f"{folder}/places-{uuid.uuid4().hex}")
+    packs = media.select(F.explode("chunks").alias("c")).select("c.pack").distinct()
+    packs.mapInArrow(delete, "pack string").count()
+    return out
 
 
 def folder(spark: SparkSession) -> str:

@@ -10,8 +10,9 @@ so no shard is gathered in one task.
 
 Defined cases: a null text has no bytes and the checksum of the empty text; a
 null key is a key of its own; rows with equal keys share a shard and get
-different slots; an empty table gives no rows; extra columns are kept unless
-they are named like an output column.
+different slots, in the order of a hash of their texts (so only rows of equal
+keys and texts may change places); an empty table gives no rows; extra columns
+are kept unless they are named like an output column, in any case of letters.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import partitions, ranked
+from quarry.llm.common import free, partitions, ranked, without
 
 #: Fixed values of the hash: the multiplier of its generator, and 2**31.
 MULTIPLIER = 2862933555777941757
@@ -58,7 +59,8 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def assign(spark: SparkSession, df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds size, text_crc32, law, shard, slot and grown_shard (with one more shard), and drops the text."""
-    rest = [c for c in df.columns if c not in (text, "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    rest = [f.name for f in without(df.schema.fields, (text, "size", "text_crc32", "law", "shard", "slot", "grown_shard"))]
+    (tie,) = free([*df.columns, "size", "text_crc32", "law", "shard", "slot", "grown_shard"], "_tie")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
     dealt = df.select(
         *rest,
@@ -67,5 +69,6 @@ def assign(spark: SparkSession, df: DataFrame, shards: int, key: str = "doc_id",
         F.lit("key").alias("law"),
         shard_of(F.col(key), shards).alias("shard"),
         shard_of(F.col(key), shards + 1).alias("grown_shard"),
+        F.xxhash64(text).alias(tie),
     )
-    return ranked(dealt, "shard", key, partitions(spark, df), "slot")
+    return ranked(dealt, "shard", key, partitions(spark, df), "slot", tie).drop(tie)

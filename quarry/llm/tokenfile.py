@@ -22,7 +22,8 @@ succeeded, so a lost executor or a second attempt does no harm.
 
 Defined cases: null text is the empty text (it still gets its end id); rows
 with a null ``doc_id`` come first, under id -2**63; rows with equal ids follow
-each other in any order; an empty table gives no files and an empty manifest.
+each other by the number of their tokens, then by their packed ids (rows that
+are equal in these too are stored alike); an empty table gives no files and an empty manifest.
 Columns other than the id and the text are not stored.
 """
 
@@ -240,7 +241,7 @@ def write(spark: SparkSession, df: DataFrame, tokenizer: str, end_id: int, folde
 
     open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(encode, "at int, key long, n long, packed binary").repartitionById(len(bounds), "at").sortWithinPartitions(F.asc_nulls_first("key"))
+    dealt = rows.mapInArrow(encode, "at int, key long, n long, packed binary").repartitionById(len(bounds), "at").sortWithinPartitions(F.asc_nulls_first("key"), "n", "packed")
     files = stored(spark, dealt.mapInArrow(save, "path string, range int, seq int, n_docs long, n_ids long, n_bytes long"), f"{folder}/manifest")
     before = (
         files.groupBy(F.col("range").alias("_range")).agg(F.sum("n_ids").alias("_n"))

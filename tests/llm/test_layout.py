@@ -1,3 +1,4 @@
+import pathlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -98,7 +99,11 @@ def test_media_round_trip_and_sharing(spark):
     assert places.count() < stored.selectExpr("explode(chunks)").count()
     want = Counter((i, media.payload((t or "").encode())) for i, t in data)
     assert Counter((r.key, bytes(r.payload)) for r in media.read(spark, stored, places, folder).collect()) == want
+    packs = lambda: {p.name: p.stat().st_size for p in pathlib.Path(folder).glob("*.pack")}
+    old = packs()
     again = media.compact(spark, stored, places, folder)
+    assert not old.keys() & packs().keys() and sum(packs().values()) == again.groupBy().sum("size").first()[0] < sum(old.values())
+    assert again.select("digest").distinct().count() == again.count()
     described = media.read(spark, stored, again, folder, described=True).collect()
     assert Counter((r.key, r.tail_crc32) for r in described) == Counter((i, zlib.crc32(media.payload((t or "").encode())[-16:])) for i, t in data)
     by_text = defaultdict(set)
@@ -126,10 +131,22 @@ def test_boundaries_are_optimal(seed):
         assert padding(histogram, got) == best
 
 
-def test_rounding_is_bounded():
-    for x in (0, 1, 4096, 4097, 5000, 12345, 10**6, 10**9 + 7):
-        y = packing.rounded(x)
-        assert x <= y <= x * 129 / 128 + 1 and packing.rounded(y) == y
+def test_boundaries_of_many_lengths_are_those_of_the_plain_recurrence():
+    r = random.Random(3)
+    for n, top in ((60, 5000), (200, 100_000), (40, 45)):
+        histogram = {x: r.choice([1, 2, 1000, 10**7]) for x in r.sample(range(top), n)}
+        lengths = sorted(histogram)
+        best = [{0: 0} if j == 0 else {} for j in range(n + 1)]
+        for j in range(1, n + 1):
+            cost = 0
+            for i in range(j - 1, -1, -1):  # a bucket over i+1..j
+                cost += histogram[lengths[i]] * (lengths[j - 1] - lengths[i])
+                for k, v in best[i].items():
+                    if k < 7:
+                        best[j][k + 1] = min(best[j].get(k + 1, 1 << 70), v + cost)
+        for buckets in (1, 3, 7):
+            got = packing.boundaries(histogram, buckets)
+            assert padding(histogram, got) == min(v for k, v in best[n].items() if k <= buckets)
 
 
 def test_packing(spark):
@@ -146,8 +163,14 @@ def test_packing(spark):
     for own in batches.values():
         assert len(own) * own[0].bucket_length <= 1000 or len(own) == 1
         assert sorted(r.place for r in own) == list(range(len(own)))
-    ends = packing.boundaries(Counter(packing.rounded(n) for (_, n), k in lengths.items() for _ in range(k)), 4)
-    assert {r.bucket_length for r in got} <= set(ends)
+    longest = defaultdict(int)
+    for r in got:
+        longest[r.bucket] = max(longest[r.bucket], r.n_tokens)
+    assert all(r.bucket_length == longest[r.bucket] for r in got) and 6000 in longest.values()
+    histogram = Counter(n for (_, n), k in lengths.items() for _ in range(k))
+    assert sum(r.padding for r in got) == padding(histogram, packing.boundaries(histogram, 4))
+    given = packing.pack(spark, df.withColumn("count", F.when(F.col("doc_id") > 3, F.col("doc_id"))), buckets=3, budget=500, tokens="count").collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in given) == Counter((i, i if i and i > 3 else 0) for i, _ in data)
     assert packing.pack(spark, df.limit(0)).count() == 0
 
 
@@ -188,3 +211,12 @@ def test_chain_without_labels_or_texts(spark):
     one = toxicity.train(spark, docs, spark.createDataFrame([(1, 0), (2, 0), (2, 0)], "doc_id long, toxic int"), {"toxic": "toxic"})
     assert not any(r.is_toxic for r in toxicity.score(docs, one).collect())
     assert rows(toxicity.score(docs, model).select("doc_id")) == [(1,), (2,), (3,)]
+
+
+def test_ties_do_not_depend_on_the_order_of_rows(spark):
+    data = [(1, f"text {i} " * (i % 5)) for i in range(40)] + [(2, None), (2, ""), (None, "x"), (None, "y")]
+    one = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    two = spark.createDataFrame(data[::-1], "doc_id long, text string").repartition(2)
+    for apply in (lambda df: shard.assign(spark, df, 3), lambda df: packing.pack(spark, df, 3, 50).withColumn("text", F.lit(0))):
+        a, b = (rows(apply(df).drop("text")) for df in (one, two))
+        assert a == b
