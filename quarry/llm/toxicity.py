@@ -5,28 +5,35 @@ inputs are a text's features and the probabilities of the categories before
 it.  When the chain is trained these are out-of-fold predictions, so later
 models see them as uncertain as they will be for new texts.
 
-Features are properties of single words, each present or not: the word without
-the punctuation around it, its first four and five letters (which find
-inflected forms that were never seen), and the signs that end it.  The
-``FEATURES`` with the highest chi-square of each category are kept, if it is
-at least ``LEAST_CHI``.
+Features are properties of single words: the word without the punctuation
+around it, its first four and five letters (which find inflected forms that
+were never seen), and the signs that end it.  A feature stands for a property
+that at least one, two or three different words of the text have (one only for
+whole words and ends).  The ``FEATURES`` with the highest chi-square of each
+category are kept, if it is at least ``LEAST_CHI``.
+
+Models are fitted to convergence (L-BFGS until no component of the gradient is
+over ``TOLERANCE``); the folds of a category and its final model are tasks of
+one Spark job.
 
 Training uses at most ``SAMPLE`` labelled documents, those first by a hash of
-their id; of equal texts one is used.  Scoring reads every whole text.
+their id; of equal texts one is used, with the least id and, for each category,
+the greatest label.  The model does not depend on the order of rows.  Scoring
+reads every whole text.
 
 Defined cases: a null text counts as empty and gets the models' base rates; a
 document with a null label is not used; of several labels for an id the
 greatest counts; without labels, or with one class only, a category's
 probability is its base rate (0 without labels); rows are scored one by one, so
 ties and repeated rows do not matter; extra columns are kept unless named like
-an output column.
+an output column, in any case of letters.
 """
 
 from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import shared_dir, slices, stored
+from quarry.llm.common import shared_dir, slices, stored, without
 
 SAMPLE = 12_000
 FEATURES = 2048
@@ -44,13 +51,17 @@ LEAST_CHI = 20.0
 #: A feature is in at least so many texts of the sample.
 LEAST_TEXTS = 3
 FOLDS = 5
+SEED = 20_011
 #: Features that a task counts before it sends its counts on.
 HELD = 200_000
-STEPS, RATE, PENALTY = 120, 0.1, 1e-3
+PENALTY, TOLERANCE, MOST_STEPS = 1e-2, 1e-6, 1000
+#: Different words that a feature of first letters may ask for.
+DEPTH = 3
 EDGE = string.punctuation + string.digits + "¿¡«»…–—“”„’‘"
 
 
 def word_features(word: bytes) -> list[str]:
+    """Properties of a word, each once."""
     text = word.decode("utf-8", "replace").lower()
     core = text.strip(EDGE)
     out = ["w" + core, "4" + core[:4], "5" + core[:5]] if len(core) > 1 else []
@@ -59,8 +70,14 @@ def word_features(word: bytes) -> list[str]:
     return out
 
 
-def text_features(text: bytes | None) -> set[str]:
-    return {f for w in set((text or b"").split()) for f in word_features(w)}
+def leveled(name: str, words: int) -> list[str]:
+    """The features of a property that so many words have."""
+    return [f"{name}@{k}" for k in range(1, min(words, DEPTH if name[0] in "45" else 1) + 1)]
+
+
+def text_features(text: bytes | None) -> list[str]:
+    counts = Counter(f for w in set((text or b"").split()) for f in word_features(w))
+    return [x for f, n in counts.items() for x in leveled(f, n)]
 
 
 @dataclass
@@ -89,8 +106,8 @@ class Sparse:
     """Presence of features in rows, with a few dense columns."""
 
     def __init__(self, rows: list[list[int]], width: int, dense: np.ndarray) -> None:
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c in r], dtype=np.int64)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+        self.col = np.array([c for r in rows for c in r], dtype=np.int32)
         self.n, self.width, self.dense = len(rows), width, dense
 
     def times(self, w: np.ndarray) -> np.ndarray:
@@ -101,20 +118,64 @@ class Sparse:
 
 
 def fit(x: Sparse, y: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model over the rows in use, by Adam."""
+    """Weights and bias of a logistic model over the rows in use: the minimum of mean loss plus half of ``PENALTY`` times the squared weights."""
     rate = float(y[use].mean()) if use.any() else 0.0
-    w, b = np.zeros(x.width + x.dense.shape[1]), float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
+    w = np.append(np.zeros(x.width + x.dense.shape[1]), np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
     if rate in (0.0, 1.0):
-        return w, b
-    m = v = np.zeros(len(w) + 1)
-    scale = use / use.sum()
-    for t in range(1, STEPS + 1):
-        g = (_sigmoid(x.times(w) + b) - y) * scale
-        grad = np.append(x.transposed(g) + PENALTY * w, g.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - float(step[-1])
-    return w, b
+        return w[:-1], float(w[-1])
+    scale, ridge = use / use.sum(), np.append(np.full(len(w) - 1, PENALTY), 0.0)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x.times(w[:-1]) + w[-1]
+        g = (_sigmoid(z) - y) * scale
+        return float((scale * (np.logaddexp(0, z) - y * z)).sum() + (ridge * w * w).sum() / 2), np.append(x.transposed(g), g.sum()) + ridge * w
+
+    loss, g = at(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []  # the last steps and changes of the gradient
+    for _ in range(MOST_STEPS):
+        if np.abs(g).max() <= TOLERANCE:
+            break
+        q, used = g.copy(), []
+        for s, d in reversed(moves):
+            used.append((s @ q) / (s @ d))
+            q -= used[-1] * d
+        if moves:
+            q *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1])
+        for (s, d), a in zip(moves, reversed(used), strict=True):
+            q += s * (a - (d @ q) / (s @ d))
+        step, fall = 1.0, float(g @ q)
+        while (new := at(w - step * q))[0] > loss - 1e-4 * step * fall and step > 1e-12:
+            step /= 2
+        if step <= 1e-12:  # no lower place can be told apart
+            break
+        s, d = -step * q, new[1] - g
+        w, loss, g = w + s, *new
+        if s @ d > 1e-14:
+            moves = [*moves[-9:], (s, d)]
+    return w[:-1], float(w[-1])
+
+
+Fits = Callable[[Sparse, np.ndarray, list[np.ndarray]], list[tuple[np.ndarray, float]]]
+
+
+def fits_here(x: Sparse, y: np.ndarray, uses: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+    return [fit(x, y, use) for use in uses]
+
+
+def fits_in_tasks(spark: SparkSession) -> Fits:
+    """A task for each model; what goes to a task and back is bounded by the sample."""
+
+    def fits(x: Sparse, y: np.ndarray, uses: list[np.ndarray]) -> list[tuple[np.ndarray, float]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    w, b = fit(x, y, uses[i])
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()]), pa.array([b])], names=["i", "w", "b"])
+
+        got = {r["i"]: (np.frombuffer(r["w"]), r["b"]) for r in spark.range(0, len(uses), 1, len(uses)).mapInArrow(run, "i long, w binary, b double").collect()}
+        return [got[i] for i in range(len(uses))]
+
+    return fits
 
 
 def threshold_of(p: np.ndarray, y: np.ndarray) -> float:
@@ -129,17 +190,16 @@ def threshold_of(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(y) else 0)) / 2)
 
 
-def train_chain(rows: list[list[int]], labels: np.ndarray, features: dict[str, int], names: list[str], folds: np.ndarray) -> Model:
+def train_chain(rows: list[list[int]], labels: np.ndarray, features: dict[str, int], names: list[str], folds: np.ndarray, fits: Fits = fits_here) -> Model:
     """A chain over rows of feature places and a column of labels for each category."""
     model = Model(features, names, [], [], [], [])
     earlier = np.zeros((len(rows), 0))
     for k in range(len(names)):
         x, y = Sparse(rows, len(features), earlier), labels[:, k].astype(float)
         out = np.zeros(len(rows))
-        for f in range(FOLDS):
-            w, b = fit(x, y, folds != f)
-            out[folds == f] = _sigmoid(x.times(w) + b)[folds == f]
-        w, b = fit(x, y, np.ones(len(rows), dtype=bool))
+        *parts, (w, b) = fits(x, y, [*(folds != f for f in range(FOLDS)), np.ones(len(rows), dtype=bool)])
+        for f, (wf, bf) in enumerate(parts):
+            out[folds == f] = _sigmoid(x.times(wf) + bf)[folds == f]
         model.weights.append(w[: len(features)])
         model.earlier.append(w[len(features) :])
         model.bias.append(b)
@@ -155,7 +215,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
     one = one.groupBy("_id").agg(*(F.max(n).alias(n) for n in names))
     chosen = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # at most ``sample`` short rows
-    rows = stored(spark, rows.withColumn("_text", F.sha2("text", 256)).dropDuplicates(["_text"]).drop("_text"), f"{shared_dir(spark, 'toxicity')}/sample")
+    texts = rows.groupBy(F.sha2("text", 256).alias("_text")).agg(F.min("_id").alias("_id"), F.first("text").alias("text"), *(F.max(n).alias(n) for n in names))  # equal texts
+    rows = stored(spark, texts, f"{shared_dir(spark, 'toxicity')}/sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -197,31 +258,34 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             found = [sorted(features[f] for f in text_features(t) if f in features) for t in texts]
-            kept = [batch.column(batch.schema.get_field_index(n)) for n in ("_id", *names)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, type=pa.list_(pa.int32()))], names=["_id", *names, "places"])
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in ("_id", "_text", *names)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, type=pa.list_(pa.int32()))], names=["_id", "_text", *names, "places"])
 
-    got = rows.mapInArrow(place, "_id long, " + ", ".join(f"`{n}` int" for n in names) + ", places array<int>").collect()  # at most ``sample`` rows
-    got.sort(key=lambda r: r["_id"])
+    got = rows.mapInArrow(place, "_id long, _text string, " + ", ".join(f"`{n}` int" for n in names) + ", places array<int>").collect()  # at most ``sample`` rows
+    got.sort(key=lambda r: (r["_id"], r["_text"]))
     labels_of = np.array([[r[n] for n in names] for r in got], dtype=int).reshape(len(got), len(names))
-    folds = np.random.Generator(np.random.PCG64(553)).permutation(len(got)) % FOLDS
-    return train_chain([r["places"] for r in got], labels_of, features, names, folds)
+    folds = np.random.Generator(np.random.PCG64(SEED)).permutation(len(got)) % FOLDS
+    return train_chain([r["places"] for r in got], labels_of, features, names, folds, fits_in_tasks(spark))
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds p_<category> and is_<category> for each category of a chain."""
     added = {f"p_{n}": T.DoubleType() for n in model.names} | {f"is_{n}": T.BooleanType() for n in model.names}
-    fields = [f for f in df.schema.fields if f.name not in added]
+    fields = without(df.schema.fields, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dull: set[bytes] = set()  # words without a feature of the model
-        sharp: dict[bytes, list[int]] = {}
+        dull: set[bytes] = set()  # words without a property that the model knows
+        sharp: dict[bytes, list[str]] = {}
+        levels: dict[str, list[tuple[int, int]]] = {}
+        for name, place in model.features.items():
+            levels.setdefault(name.rsplit("@", 1)[0], []).append((int(name.rsplit("@", 1)[1]), place))
         for batch, texts in slices(batches, text):
             rows = []
             for t in texts:
-                places: set[int] = set()
+                counts: Counter = Counter()
                 for w in set(t.split()).difference(dull) if t else ():
                     if (known := sharp.get(w)) is None:
-                        known = [model.features[f] for f in word_features(w) if f in model.features]
+                        known = [f for f in word_features(w) if f in levels]
                         if not known:
                             if len(dull) > 500_000:
                                 dull.clear()
@@ -230,8 +294,8 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         if len(sharp) > 100_000:
                             sharp.clear()
                         sharp[w] = known
-                    places.update(known)
-                rows.append(model.probabilities(sorted(places)))
+                    counts.update(known)
+                rows.append(model.probabilities(sorted(place for f, n in counts.items() for k, place in levels[f] if k <= n)))
             p = np.array(rows, dtype=float).reshape(len(rows), len(model.names))
             columns = [*(pa.array(p[:, k]) for k in range(p.shape[1])), *(pa.array(p[:, k] >= model.threshold[k]) for k in range(p.shape[1]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])

@@ -220,3 +220,59 @@ def test_ties_do_not_depend_on_the_order_of_rows(spark):
     for apply in (lambda df: shard.assign(spark, df, 3), lambda df: packing.pack(spark, df, 3, 50).withColumn("text", F.lit(0))):
         a, b = (rows(apply(df).drop("text")) for df in (one, two))
         assert a == b
+
+
+def plain_fit(x, y):
+    """The minimum of the penalised loss by Newton's method on dense rows."""
+    rate = y.mean() if len(y) else 0.0
+    w = np.append(np.zeros(x.shape[1]), np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))
+    if rate in (0.0, 1.0):
+        return w
+    x = np.column_stack((x, np.ones(len(x))))
+    ridge = np.append(np.full(x.shape[1] - 1, toxicity.PENALTY), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(x) + np.diag(ridge), x.T @ (p - y) / len(x) + ridge * w)
+    return w
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chain_is_that_of_a_plain_version(spark, seed):
+    r = np.random.default_rng(seed)
+    n, width = 150, 12
+    x = (r.random((n, width)) < 0.3).astype(float)
+    first = (x[:, 0] + x[:, 1] + r.random(n) > 1.4).astype(int)
+    second = (first + x[:, 2] + r.random(n) > 1.8).astype(int)
+    labels, folds = np.column_stack((first, second, np.zeros(n, dtype=int))), r.permutation(n) % toxicity.FOLDS
+    rows_ = [np.flatnonzero(row).tolist() for row in x]
+    features, names = {f"w{i}@1": i for i in range(width)}, ["a", "b", "c"]
+    model = toxicity.train_chain(rows_, labels, features, names, folds, toxicity.fits_in_tasks(spark) if seed == 0 else toxicity.fits_here)
+    dense, said = x, np.zeros((n, 0))
+    for k in range(3):
+        y = labels[:, k].astype(float)
+        w = plain_fit(dense, y)
+        assert np.allclose(np.append(model.weights[k], model.earlier[k]), w[:-1], atol=1e-3) and abs(model.bias[k] - w[-1]) < 1e-3
+        out = np.zeros(n)
+        for f in range(toxicity.FOLDS):
+            wf = plain_fit(dense[folds != f], y[folds != f])
+            out[folds == f] = 1 / (1 + np.exp(-(dense[folds == f] @ wf[:-1] + wf[-1])))
+        final = 1 / (1 + np.exp(-(np.column_stack((x, said)) @ w[:-1] + w[-1])))
+        assert np.allclose([model.probabilities(p)[k] for p in rows_], final, atol=1e-3)
+        dense, said = np.column_stack((dense, out)), np.column_stack((said, final))
+
+
+def test_model_does_not_depend_on_the_order_of_rows(spark):
+    data = [(i, t, q, x) for i, t, q, x in toxic_corpus(120, 3)]
+    data += [(i + 1000, t, 1 - q, x) for i, t, q, x in data[:40]]  # equal texts with other labels
+    frame = lambda d, n: spark.createDataFrame(d, "doc_id long, text string, quality int, toxic int").repartition(n)
+    models = []
+    for df in (frame(data, 2), frame(data[::-1], 5)):
+        models.append(toxicity.train(spark, df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), {"low": "1 - quality", "toxic": "toxic"}))
+    a, b = models
+    assert a.features == b.features and a.threshold == b.threshold and a.bias == b.bias
+    assert all((v == w).all() for v, w in zip(a.weights + a.earlier, b.weights + b.earlier, strict=True))
+    out = toxicity.score(frame(data, 2).withColumn("P_Toxic", F.lit(1)), a)
+    assert out.columns == ["doc_id", "text", "quality", "toxic", "p_low", "p_toxic", "is_low", "is_toxic"]
+    features = lambda t: sorted(a.features[f] for f in toxicity.text_features((t or "").encode()) if f in a.features)
+    for r in out.collect():
+        assert a.probabilities(features(r.text)) == [r.p_low, r.p_toxic]
