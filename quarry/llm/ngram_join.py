@@ -2,6 +2,9 @@
 
 A document's set holds the distinct shingles of five words.  Documents with
 equal sets form one class; classes are joined, documents follow their class.
+A class is named by 64 bits of its set, and a second, independent 64 bits are
+compared for all documents of a name; sets that share a name but not the second
+half are named by that one.  So sets are told apart by 128 bits.
 
 1. Every shingle goes, as a 64-bit hash with its class, to a range of hashes.
    There each shingle's classes are counted, and a shingle in two or more of
@@ -10,14 +13,19 @@ equal sets form one class; classes are joined, documents follow their class.
 2. Tokens of a set are ordered by count, ties by hash.  Two sets of a
    similarity of 0.8 share t = ceil(0.8 n) tokens of either set of n tokens.
    Rare tokens are indexed alone; frequent ones (in over ``FREQUENT`` classes)
-   fall into ``SUBCLASSES`` groups by hash and are indexed in pairs of one
-   group.  The prefix is extended until its rare tokens, plus for each group
+   fall into groups by hash and are indexed in pairs of one group.  There are
+   ``SUBCLASSES`` groups, and for large sets a power of two that grows with the
+   prefix, so that its pairs grow no faster than the prefix; a set uses the
+   numbers of groups of all sizes that may be similar to it.  The prefix is
+   extended until its rare tokens, plus for each group
    one less than the group's tokens, reach n - t + 1.  Then two similar sets
    share a rare token or two frequent ones of a group within the shorter
    prefix, so they meet under some signature.  Sets too small to reach that
    sum, and those that may be similar to such, also index single tokens of the
    plain prefix.
-3. Sets under one signature are compared with their hub, the set with the most
+3. A signature's hub is found by an aggregation, and joined back in ``SALTS``
+   parts, so that a signature of many sets is not one task's.  Sets under one
+   signature are compared with their hub, the set with the most
    frequent tokens, if their sizes and the numbers of tokens after the
    signature allow the similarity.  Sets that are linked by then are not
    compared again.  Every other pair under a signature is, unless a bound rules
@@ -41,11 +49,10 @@ extra columns are kept by ``component_filter``; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +68,8 @@ SUBCLASSES = 8
 SMALL = 14
 #: Places of the bitmap of a set's tokens; a multiple of 64.
 BITS = 512
+#: Parts of the sets under a signature.
+SALTS = 8
 #: Shingles that a task gathers before it sends them on.
 BLOCK = 2_000_000
 
@@ -75,9 +84,30 @@ def small_size(percent: int = PERCENT, subclasses: int = SUBCLASSES) -> int:
     return max(SMALL, 100 * (100 * subclasses // max(1, percent)) // max(1, percent))
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of a set: equal for equal sets."""
-    return int(mix(mix(tokens ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64, keepdims=True) + U64(len(tokens))).view(np.int64)[0])
+def subclasses_of(n: int, percent: int = PERCENT) -> int:
+    """How many groups the frequent tokens of a set of n fall into: about a quarter of the tokens that its partners may lack."""
+    return max(SUBCLASSES, 1 << max(0, ((n - needed(n, percent) + 1) // 4).bit_length() - 1))
+
+
+def systems_of(n: int, percent: int = PERCENT) -> list[int]:
+    """The numbers of groups of all sizes that may be similar to n."""
+    low, high = subclasses_of(needed(n, percent), percent), subclasses_of(max(n, 100 * n // max(1, percent)), percent)
+    return [low << i for i in range((high // low).bit_length())]
+
+
+def _digest(tokens: np.ndarray, salt: int) -> int:
+    return int(mix(mix(tokens ^ U64(salt)).sum(dtype=U64, keepdims=True) + U64(len(tokens))).view(np.int64)[0])
+
+
+def check_of(tokens: np.ndarray) -> int:
+    """The second half of a set's name."""
+    return _digest(tokens, 0x2545F4914F6CDD1D)
+
+
+def class_of(tokens: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """A 64-bit name of a set: equal for equal sets; the second half where different sets share the first."""
+    name = _digest(tokens, 0x5851F42D4C957F2D)
+    return check_of(tokens) if name in shared else name
 
 
 def _sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -85,20 +115,25 @@ def _sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
 
 
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """key, n_shingles and class of each document; the class of an empty set is null."""
+    """key, n_shingles, class and check (both halves of the set's name) of each document; those of an empty set are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             sets = _sets(texts, k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], type=pa.int64())],
-                names=["key", "n_shingles", "class"],
+                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array([of(s) if len(s) else None for s in sets], type=pa.int64()) for of in (class_of, check_of))],
+                names=["key", "n_shingles", "class", "check"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, class long")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, class long, check long")
+
 
+def shared_names(of: DataFrame) -> frozenset[int]:
+    """Names that different sets have; of n sets, n * n / 2**65 are to be expected (270 of 10**11)."""
+    return frozenset(r["class"] for r in of.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("class").collect())
 
-def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: int = SHINGLE) -> DataFrame:
+
+def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: int = SHINGLE, names_shared: frozenset[int] = frozenset()) -> DataFrame:
     """Tokens that two or more classes have, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token)."""
     n_parts = partitions(spark, docs)
     cuts = part_cuts(n_parts)
@@ -125,7 +160,7 @@ def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: i
 
         for _, texts in slices(batches, "text"):
             for s in _sets(texts, k):
-                if len(s) > 1 and (name := class_of(s)) not in held:
+                if len(s) > 1 and (name := class_of(s, names_shared)) not in held:
                     held[name] = s
                     size += len(s)
             if size >= BLOCK:
@@ -193,7 +228,7 @@ def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(name[cut[:-1]]), pa.array(size[cut[:-1]]), *binary], names=["class", "n", "tokens", "counts"])
 
 
-def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT, subclasses: int = SUBCLASSES) -> tuple[np.ndarray, np.ndarray]:
+def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a set of n tokens, and how many tokens a partner can share at most if that signature is the first in common.
 
     Given are the tokens that others have too, in ascending order of (count,
@@ -201,26 +236,27 @@ def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PE
     """
     sum_needed = n - needed(n, percent) + 1
     alone = n - len(tokens)
-    small = n <= small_size(percent, subclasses)
+    small = n <= small_size(percent)
     if alone >= sum_needed and not small:
         return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
     rare = int(np.searchsorted(counts, frequent, side="right"))
     left = len(tokens) - np.arange(len(tokens))
     single = max(0, min(rare, sum_needed - alone))
     out, rest = [mix(tokens[:single])], [left[:single]]
-    have, at = alone + min(rare, max(0, sum_needed - alone)), rare
-    groups: dict[int, list[int]] = {}
-    group_of = (mix(tokens) % U64(subclasses)).tolist()
-    while have < sum_needed and at < len(tokens):
-        group = groups.setdefault(group_of[at], [])
-        have += bool(group)
-        group.append(at)
-        at += 1
-    for group in groups.values():
-        if len(group) > 1:
-            pairs = np.array(list(combinations(group, 2)))
-            out.append(mix(tokens[pairs[:, 0]] * U64(3) + mix(tokens[pairs[:, 1]])))
-            rest.append(left[pairs[:, 0]] + subclasses)  # before it, one token of each group may be shared
+    have = alone + min(rare, max(0, sum_needed - alone))
+    for groups in systems_of(n, percent) if have < sum_needed else ():
+        group = (mix(tokens[rare:]) % U64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        first = np.concatenate(([True], group[order][1:] != group[order][:-1])) if len(order) else np.zeros(0, dtype=bool)
+        later = np.ones(len(order), dtype=np.int64)
+        later[order[first]] = 0  # all tokens of a group but its first count
+        stop = int(np.searchsorted(np.cumsum(later), sum_needed - have)) + 1
+        for own in np.split(order, np.flatnonzero(first)[1:]):
+            own = own[own < stop] + rare
+            if len(own) > 1:
+                i, j = np.triu_indices(len(own), 1)
+                out.append(mix(tokens[own[i]] * U64(3) + mix(tokens[own[j]]) + U64(groups - SUBCLASSES)))
+                rest.append(left[own[i]] + groups)  # before it, one token of each group may be shared
     if small:
         first = max(0, sum_needed - alone)
         out.append(mix(tokens[:first] + U64(1)))
@@ -295,25 +331,32 @@ def components(spark: SparkSession, edges: DataFrame, folder: str) -> DataFrame:
         seen = got
 
 
-def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def by_signature(rows: DataFrame, *found: Column) -> tuple[DataFrame, DataFrame]:
+    """What an aggregation over each signature finds, to be joined back on (sig, part) in ``SALTS`` parts: a signature of many sets is no task's alone."""
+    whole = rows.groupBy("sig").agg(*found).withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("part", F.pmod(F.hash("class"), F.lit(SALTS))), whole
+
+
+def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, names_shared: frozenset[int] = frozenset()) -> DataFrame:
     """Links (a, b, shared) between similar classes, enough of them to join their components."""
-    found = stored(spark, candidates(shared_tokens(spark, docs, text, k), percent, frequent), f"{folder}/candidates")
+    found = stored(spark, candidates(shared_tokens(spark, docs, text, k, names_shared), percent, frequent), f"{folder}/candidates")
     sets = found.select("class", "n", "tokens")
     rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight", (F.octet_length("tokens") / 8).cast("int").alias("own")).select("s.sig", "s.left", "class", "n", "weight", "own")
     pair = (F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))
     # sizes, and what is left of both sets, allow the similarity
     enough = lambda x: f"{100 + percent} * {x} >= {percent} * (n + n2)"
     near = f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {enough('least(left, left2)')}"
-    bucket = Window.partitionBy("sig")
-    met = rows.withColumn("_met", F.count("*").over(bucket)).where("_met > 1").drop("_met").withColumn("hub", F.first(F.struct("class", "n", "left")).over(bucket.orderBy(F.desc("weight"), "class")))
-    rows = stored(spark, met.select("*", F.col("hub.class").alias("class2"), F.col("hub.n").alias("n2"), F.col("hub.left").alias("left2")).drop("hub").where("class <> class2"), f"{folder}/signatures")
+    rows, hubs = by_signature(rows, F.count("*").alias("met"), F.min(F.struct((-F.col("weight")).alias("w"), "class", "n", "left")).alias("hub"))
+    met = rows.join(hubs.where("met > 1"), ["sig", "part"])
+    rows = stored(spark, met.select("sig", "left", "class", "n", "own", F.col("hub.class").alias("class2"), F.col("hub.n").alias("n2"), F.col("hub.left").alias("left2")).where("class <> class2"), f"{folder}/signatures")
     first = stored(spark, compared(rows.where(near).select(*pair).distinct(), sets, percent), f"{folder}/hubs")
     known = stored(spark, labels(first.where("similar")), f"{folder}/labels")
     # two sets share at most what either shares with their hub, and of the rest at most the lesser
     shared = first.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("shared").alias("both"))
     rows = rows.join(shared, (F.least("class", "class2") == F.col("_a")) & (F.greatest("class", "class2") == F.col("_b")), "left").select("sig", "left", "class", "n", "own", "both")
     rows = rows.join(known, F.col("class") == F.col("node"), "left").select("sig", "left", "class", "n", "own", "both", F.coalesce("root", "class").alias("root"))
-    split = rows.withColumn("_low", F.min("root").over(bucket)).withColumn("_high", F.max("root").over(bucket)).where("_low <> _high").drop("_low", "_high")
+    rows, roots = by_signature(rows, F.min("root").alias("low"), F.max("root").alias("high"))
+    split = rows.join(roots.where("low <> high"), ["sig", "part"]).drop("part", "low", "high")
     open_ = stored(spark, split.join(found.select("class", "bits"), "class"), f"{folder}/open")
     other = open_.select("sig", *(F.col(c).alias(f"{c}2") for c in ("class", "n", "left", "own", "both", "root", "bits")))
     bound = f"(both is null or both2 is null or {enough('(least(both, both2) + least(own - both, own2 - both2))')})"
@@ -329,44 +372,47 @@ def _rooted(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int =
     """key, n_shingles, class, root (a name of the class's component), component_id of each document."""
     folder = shared_dir(spark, "ngrams")
     of = stored(spark, members(docs, key, text, k), f"{folder}/members")
-    roots = components(spark, links(spark, docs, folder, text, k, percent, frequent), f"{folder}/components")
+    shared = shared_names(of)
+    if shared:
+        of = of.withColumn("class", F.when(F.col("class").isin(list(shared)), F.col("check")).otherwise(F.col("class")))
+    roots = components(spark, links(spark, docs, folder, text, k, percent, frequent, shared), f"{folder}/components")
     least = of.where("class is not null").groupBy("class").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     rooted = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     # only classes with copies or links need a look-up
     several = rooted.where("copies > 1 or linked").unionAll(rooted.join(roots.select(F.col("root").alias("class")).distinct(), "class", "left_semi")).distinct()
     by_root = several.groupBy("root").agg(F.min("first").alias("component"))
     look = several.select("class", "root").distinct().join(by_root, "root").select(F.col("class").alias("_class"), "root", "component")
-    return of.join(look, F.col("class") == F.col("_class"), "left").select(F.col("key").alias(key), "n_shingles", "class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "key").alias("component_id"))
+    return of.join(look, F.col("class") == F.col("_class"), "left").select(F.col("key").alias(key), "n_shingles", "class", "check", F.coalesce("root", "class").alias("root"), F.coalesce("component", "key").alias("component_id"))
 
 
 def join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row for each document: key, n_shingles, class, component_id (the least key reachable by links)."""
-    return _rooted(spark, docs, key, text, k, percent, frequent).drop("root")
+    return _rooted(spark, docs, key, text, k, percent, frequent).drop("root", "check")
 
 
-def _with_class(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the class of each row's set; null for the empty set."""
+def _with_check(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the second half of the name of each row's set; null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, text):
-            classes = pa.array([class_of(s) if len(s) else None for s in _sets(texts, SHINGLE)], type=pa.int64())
+            classes = pa.array([check_of(s) if len(s) else None for s in _sets(texts, SHINGLE)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def component_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that are linked to one with a smaller key; of linked rows of one key the one with the least class stays, unlinked ones all stay, and so do rows with a null key.
+    """The documents without those that are linked to one with a smaller key; of linked rows of one key the one with the least name stays, unlinked ones all stay, and so do rows with a null key.
 
-    Rows of a repeated key are told apart by their class, those with the empty set by their text.
+    Rows of a repeated key are told apart by the second half of their set's name, those with the empty set by their text.
     """
-    name, mark, empty, own = free(docs.columns, "_gone", "_mark", "_empty", "_class")
+    name, mark, empty, own = free(docs.columns, "_gone", "_mark", "_empty", "_check")
     of = stored(spark, _rooted(spark, docs, key, text).where(F.col(key).isNotNull()), f"{shared_dir(spark, 'ngrams')}/rooted")
     several = of.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(key).alias(name))
     gone = of.where(F.col("component_id") < F.col(key)).select(F.col(key).alias(name)).distinct()
     kept = docs.join(gone.unionAll(several).distinct(), F.col(key) == F.col(name), "left_anti")  # rows with a null key too
-    stay = of.where(F.col("component_id") == F.col(key)).groupBy(key, "root").agg(F.min("class").alias(mark)).select(F.col(key).alias(name), mark)
-    rows = _with_class(docs.join(several, F.col(key) == F.col(name), "left_semi"), text, own)
+    stay = of.where(F.col("component_id") == F.col(key)).groupBy(key, "root").agg(F.min("check").alias(mark)).select(F.col(key).alias(name), mark)
+    rows = _with_check(docs.join(several, F.col(key) == F.col(name), "left_semi"), text, own)
     rows = rows.join(stay, (F.col(key) == F.col(name)) & F.col(own).eqNullSafe(F.col(mark)), "left_semi")
     rows = rows.withColumn(empty, F.when(F.col(own).isNull(), F.col(text))).dropDuplicates([key, own, empty])
     return kept.unionAll(rows.select(docs.columns))

@@ -255,3 +255,41 @@ def test_similar_sets_share_a_signature_at_half():
     large, _ = ngram_join.signatures(16, np.concatenate((others, shared)), np.concatenate((few, many)), 50)
     assert len(np.intersect1d(small, large))
     assert ngram_join.small_size() == ngram_join.SMALL
+
+
+def test_signatures_grow_with_the_prefix():
+    r = np.random.default_rng(1)
+    for n in (300, 5_000, 40_000):
+        tokens = np.sort(r.integers(1, 1 << 63, n, dtype=np.uint64))
+        found, _ = ngram_join.signatures(n, tokens, np.full(n, 1000))
+        assert 0 < len(found) < 100_000 and len(found) < 8 * n
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_large_similar_sets_share_a_signature(seed):
+    r = np.random.default_rng(seed)
+    for n in (310, 330, 640, 1300, 2600, 5200):
+        pool = r.integers(1, 1 << 63, 2 * n, dtype=np.uint64)
+        for more in (0.0, 0.1, 0.2, 0.24):  # one set inside the other, up to the least similarity
+            m = int(n * (1 + more))
+            a, b = (np.sort(pool[:k]) for k in (n, m))
+            if 100 * n < 80 * m:
+                continue
+            one, left = ngram_join.signatures(n, a, np.full(n, 1000))
+            two, left2 = ngram_join.signatures(m, b, np.full(m, 1000))
+            both, i, j = np.intersect1d(one, two, return_indices=True)
+            assert any(180 * min(x, y) >= 80 * (n + m) for x, y in zip(left[i], left2[j], strict=True)), (n, m)
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    docs = corpus(5, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    names = ngram_join.members(df).where("class is not null").select("class").distinct().limit(12).collect()
+    monkeypatch.setattr(ngram_join, "shared_names", lambda of: frozenset(r["class"] for r in names))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, df, frequent=2).collect()}
+    assert got == brute_components(docs)
+    kept = {r.doc_id for r in ngram_join.component_filter(spark, df).collect()}
+    assert kept == {i for i, (_, c) in got.items() if c == i}
+    monkeypatch.undo()
+    of = spark.createDataFrame([(1, 1, 7, 5), (2, 1, 7, 6), (3, 1, 8, 5), (4, 1, 8, 5), (5, 0, None, None)], "key long, n_shingles long, class long, check long")
+    assert ngram_join.shared_names(of) == {7}
