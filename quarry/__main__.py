@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import MORE_STOPWORDS
 from quarry.operators import baskets, bfr, cf, minhash, profiles, stats
 from quarry.sources import readers, writers
+from quarry.sources.shared import kept, shared_dir
 
 
 def review_stats(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -38,25 +38,20 @@ def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def item_sets(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = readers.csv_rows(spark, a.input)
-    pairs = baskets.baskets(rows, *(("user_id", "business_id") if a.case == 1 else ("business_id", "user_id"))).persist()
-    found = baskets.son_candidates(pairs, a.support, F.pmod(F.xxhash64("basket"), F.lit(a.parts))).persist()
+    pairs = kept(baskets.baskets(rows, *(("user_id", "business_id") if a.case == 1 else ("business_id", "user_id"))), "pairs")
+    found = baskets.son_candidates(pairs, a.support, F.pmod(F.xxhash64("basket"), F.lit(a.parts)))
     writers.write_itemset_report(found, baskets.count_sets(pairs, found).where(F.col("support") >= a.support), a.output)
 
 
-def _numbered(df: DataFrame, column: str) -> DataFrame:
-    """A table with the integer that stands for each key in the hashes."""
-    return df.withColumn("_x", F.pmod(F.xxhash64(column), F.lit(1 << 31)))
-
-
 def similar_businesses(spark: SparkSession, a: argparse.Namespace) -> None:
-    df = _numbered(readers.reviews(spark, a.reviews), "user_id")
-    writers.json_lines(minhash.similar(df, "business_id", "_x", a.least).orderBy("b1", "b2"), a.output)
+    df = readers.reviews(spark, a.reviews)
+    writers.json_lines(minhash.similar(df, "business_id", "user_id", a.least, wide=True).orderBy("b1", "b2"), a.output)
 
 
 def content_train(spark: SparkSession, a: argparse.Namespace) -> None:
     df = readers.reviews(spark, a.reviews)
     counts = profiles.word_counts(df, readers.stopwords(spark, a.stopwords, *MORE_STOPWORDS), "business_id")
-    business = profiles.business_profile(profiles.tf_idf(profiles.without_rare(counts), "business_id"), "business_id").persist()
+    business = kept(profiles.business_profile(profiles.tf_idf(profiles.without_rare(counts), "business_id"), "business_id"), "profile")
     writers.profiles(profiles.user_profile(df, business, "user_id", "business_id"), business, a.model)
 
 
@@ -66,7 +61,7 @@ def content_predict(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def _ratings(spark: SparkSession, path: str) -> DataFrame:
-    return cf.ratings(readers.reviews(spark, path), item="business_id").persist()
+    return kept(cf.ratings(readers.reviews(spark, path), item="business_id"), "ratings")
 
 
 def cf_train(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -74,8 +69,7 @@ def cf_train(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.kind == "item":
         writers.json_lines(cf.item_model(train), a.model)
         return
-    sets = _numbered(train, "item_id").select("user_id", F.col("_x").alias("item_id"), "stars")
-    writers.json_lines(cf.user_model(train, cf.user_candidates(sets)), a.model)
+    writers.json_lines(cf.user_model(train, wide=True), a.model)
 
 
 def cf_predict(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -86,8 +80,8 @@ def cf_predict(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def cluster(spark: SparkSession, a: argparse.Namespace) -> None:
-    points = readers.points(spark, a.input).persist()
-    run = bfr.BFR(spark, f"{a.output}/work-{uuid.uuid4().hex}", a.k)
+    points = kept(readers.points(spark, a.input), "points")
+    run = bfr.BFR(spark, shared_dir(spark, "bfr"), a.k)
     for k in range(points.select("chunk").distinct().count()):
         run.feed(points.where(F.col("chunk") == k))
     writers.csv_table(run.round_report().orderBy("round_id").coalesce(1), f"{a.output}/rounds")

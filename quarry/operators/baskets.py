@@ -1,15 +1,22 @@
-"""Frequent item sets: two-phase, partitioned and exact."""
+"""Frequent item sets: two-phase, partitioned and exact.
 
-from __future__ import annotations
+Baskets are sorted arrays.  A set's occurrences are rows of the set and the
+items that follow its last one in a basket; the next level takes one of these
+items in.  Only sets that are candidates go on, so rows are not made for sets
+that cannot be frequent, and occurrences are counted where they arise, before
+anything moves.  A level that is found is a small table in the shared folder.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import kept
+
 
 def baskets(rows: DataFrame, key: str, item: str) -> DataFrame:
-    """Distinct (basket, item) pairs; null items and keys do not count. Case 1 and 2 of the reference differ in which column is the key."""
+    """Distinct (basket, item) pairs; null items and keys do not count. Either column may be the key: users with their businesses, or businesses with their users."""
     return rows.select(F.col(key).alias("basket"), F.col(item).alias("item")).dropna().distinct()
 
 
@@ -19,6 +26,21 @@ def frequent_items(pairs: DataFrame, support: Column | int, by: list[str] | None
     return pairs.groupBy(*by, "item").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= support).select(*by, F.array("item").alias("items"), "support")
 
 
+def lists(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each basket: its items in order."""
+    return pairs.groupBy(*(by or []), "basket").agg(F.array_sort(F.collect_set("item")).alias("held"))
+
+
+def occurrences(held: DataFrame, levels: list[DataFrame], by: list[str] | None = None) -> DataFrame:
+    """items, tail (what follows in the basket) for each basket and each set of the last level; levels hold the sets of 1, 2, ... items, and every set's first items are in the level before."""
+    by = by or []
+    rows = held.select(*by, F.array().cast(held.schema["held"].dataType).alias("items"), F.col("held").alias("tail"))
+    for level in levels:
+        rows = rows.select(*by, "items", "tail", F.posexplode("tail").alias("_at", "_next")).select(*by, F.concat("items", F.array("_next")).alias("items"), F.expr("slice(tail, _at + 2, size(tail))").alias("tail"))
+        rows = rows.join(level.select(*by, "items"), [*by, "items"], "left_semi")
+    return rows
+
+
 def next_candidates(frequent: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sets of one item more whose subsets of the last size are all frequent.
 
@@ -36,33 +58,35 @@ def next_candidates(frequent: DataFrame, by: list[str] | None = None) -> DataFra
     return known.groupBy(*by, "items").agg(F.count(F.lit(1)).alias("_k"), F.first("_n").alias("_n")).where("_k = _n").select(*by, "items")
 
 
-def count_sets(pairs: DataFrame, sets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Baskets that hold each set: items, support; a set without baskets is not listed."""
-    by = by or []
-    members = sets.select(*by, "items", F.size("items").alias("_k"), F.explode("items").alias("item"))
-    held = pairs.join(members, [*by, "item"]).groupBy(*by, "basket", "items").agg(F.count(F.lit(1)).alias("_n"), F.first("_k").alias("_k")).where("_n = _k")
-    return held.groupBy(*by, "items").agg(F.count(F.lit(1)).alias("support"))
+def _counted(held: DataFrame, levels: list[DataFrame], by: list[str]) -> DataFrame:
+    return occurrences(held, levels, by).groupBy(*by, "items").agg(F.count(F.lit(1)).alias("support"))
 
 
-def _level(df: DataFrame) -> DataFrame:
-    """A level of sets without the plan that made it: each level names the last one three times, so plans would grow threefold with every level."""
-    base = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return df.localCheckpoint()
-    path = f"{base.rstrip('/')}/sets-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def count_sets(pairs: DataFrame, sets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Baskets that hold each set: items, support; a set without baskets is not listed. With a set, its first items must be listed too, as they are in the result of a level-wise search."""
+    by = by or []
+    sets = kept(sets.select(*by, "items").distinct(), "sets")
+    held = kept(lists(pairs, by), "baskets")
+    largest = sets.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
+    levels = [sets.where(F.size("items") == k) for k in range(1, largest + 1)]
+    out = sets.select(*by, "items", F.lit(0).cast("long").alias("support")).limit(0)
+    for k in range(1, largest + 1):
+        out = out.unionAll(_counted(held, levels[:k], by).select(*by, "items", "support"))
+    return out
 
 
 def apriori(pairs: DataFrame, support: Column | int, max_size: int | None = None, by: list[str] | None = None) -> DataFrame:
     """All sets in at least so many baskets, level by level; the loop ends with the last level that has sets."""
     by = by or []
-    level = _level(frequent_items(pairs, support, by))
-    out, size = level, 1
-    while (max_size is None or size < max_size) and not level.isEmpty():
-        found = count_sets(pairs, next_candidates(level, by), by)
-        level = _level(found.where(F.col("support") >= support).select(*by, "items", "support"))
-        out, size = out.unionAll(level), size + 1
+    levels = [kept(frequent_items(pairs, support, by), "sets")]
+    only = [*by, "basket", "item"]
+    held = kept(lists(pairs.join(levels[0].select(*by, F.element_at("items", 1).alias("item")), [*by, "item"], "left_semi").select(only), by), "baskets")
+    while (max_size is None or len(levels) < max_size) and not levels[-1].isEmpty():
+        found = _counted(held, [*levels, next_candidates(levels[-1], by)], by)
+        levels.append(kept(found.where(F.col("support") >= support).select(*by, "items", "support"), "sets"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionAll(level)
     return out
 
 
@@ -72,14 +96,12 @@ def son_candidates(pairs: DataFrame, support: int, parts: Column, max_size: int
     ``parts`` is an expression over ``basket``. A part of n of N baskets has
     the threshold support * n / N.
     """
-    split = pairs.withColumn("part", parts.cast("int"))
+    split = kept(pairs.withColumn("part", parts.cast("int")), "parts")
     sizes = split.groupBy("part").agg(F.count_distinct("basket").alias("n"))
     total = sizes.agg(F.sum("n").alias("total"))
     need = sizes.join(total, F.lit(True)).select("part", (F.lit(support) * F.col("n") / F.col("total")).alias("need"))  # one row on the right
-    split = split.join(F.broadcast(need), "part").persist()  # a row for each part
-    level_rows = split.select("part", "need", "basket", "item")
-    by = ["part", "need"]
-    return apriori(level_rows, F.col("need"), max_size, by).select("items").distinct()
+    rows = split.join(need, "part").select("part", "need", "basket", "item")
+    return kept(apriori(rows, F.col("need"), max_size, ["part", "need"]).select("items").distinct(), "candidates")
 
 
 def son(pairs: DataFrame, support: int, parts: Column, max_size: int | None = None) -> DataFrame:
@@ -91,7 +113,7 @@ def fp_growth(pairs: DataFrame, support: int) -> DataFrame:
     """The same sets by the built-in FP-growth: items (sorted), support."""
     from pyspark.ml.fpm import FPGrowth
 
-    lists = pairs.groupBy("basket").agg(F.collect_set("item").alias("items"))
-    share = (support - 0.5) / max(1, lists.count())
-    found = FPGrowth(itemsCol="items", minSupport=max(share, 0.0)).fit(lists).freqItemsets
+    held = pairs.groupBy("basket").agg(F.collect_set("item").alias("items"))
+    share = (support - 0.5) / max(1, held.count())
+    found = FPGrowth(itemsCol="items", minSupport=max(share, 0.0)).fit(held).freqItemsets
     return found.select(F.array_sort("items").alias("items"), F.col("freq").alias("support"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.measures import jaccard, pearson
 from quarry.operators import minhash
+from quarry.sources.shared import kept
 
 CO_RATERS = 3
 ITEM_NEIGHBOURS, USER_NEIGHBOURS = 5, 50
@@ -29,22 +30,24 @@ def item_model(train: DataFrame, least: int = CO_RATERS) -> DataFrame:
     return found.where("sim > 0").select("b1", "b2", F.round("sim", DIGITS).alias("sim"))
 
 
-def user_candidates(train: DataFrame, n: int = 30, least_items: int = 3, least: float = 0.01, shared: int = 3) -> DataFrame:
-    """Pairs u1 < u2 of users with enough items that share a MinHash value, are similar enough and share enough items."""
-    active = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_items).select("user_id")
-    sets = train.join(active, "user_id", "left_semi").select("user_id", "item_id")
-    met = minhash.candidate_pairs(minhash.bands(minhash.signatures(sets, n, "user_id", "item_id"), 1, "user_id"), "user_id")
-    counted = minhash.shared_counts(sets, "user_id", "item_id", met)
-    return counted.where((F.col("shared") >= shared) & (jaccard(F.col("shared"), F.col("n1"), F.col("n2")) >= least)).select(F.col("k1").alias("u1"), F.col("k2").alias("u2"))
-
-
-def user_model(train: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
-    """u1 < u2, sim: Pearson over common items of candidate pairs, where it is over 0."""
-    pairs = user_candidates(train) if candidates is None else candidates
-    a = train.select(F.col("user_id").alias("u1"), "item_id", F.col("stars").alias("r1"))
-    b = train.select(F.col("user_id").alias("u2"), "item_id", F.col("stars").alias("r2"))
-    met = pairs.join(a, "u1").join(b, ["u2", "item_id"])
-    return met.groupBy("u1", "u2").agg(pearson("r1", "r2").alias("sim")).where("sim > 0").select("u1", "u2", F.round("sim", DIGITS).alias("sim"))
+def user_model(train: DataFrame, n: int = 30, least_items: int = 3, least: float = 0.01, shared: int = 3, wide: bool = False) -> DataFrame:
+    """u1 < u2, sim: Pearson over common items, where it is over 0, of users that share a MinHash value and enough items, and are similar enough.
+
+    One join over common items gives the number shared, the similarity and the
+    correlation of a pair at once; its cost is the sum over items of their
+    squared raters.  MinHash values then only have to agree for the few pairs
+    that are left, so no candidates are made that share too few items.
+    """
+    active = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_items)
+    sets = kept(train.join(active, "user_id").select("user_id", "item_id", "stars", "_n"), "ratings")
+    a = sets.select(F.col("user_id").alias("u1"), "item_id", F.col("stars").alias("r1"), F.col("_n").alias("n1"))
+    b = sets.select(F.col("user_id").alias("u2"), "item_id", F.col("stars").alias("r2"), F.col("_n").alias("n2"))
+    met = a.join(b, "item_id").where("u1 < u2").groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("_s"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), pearson("r1", "r2").alias("sim"))
+    near = met.where((F.col("_s") >= shared) & (jaccard(F.col("_s"), F.col("n1"), F.col("n2")) >= least) & (F.col("sim") > 0))
+    values = minhash.signatures(sets, n, "user_id", "item_id", wide).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("hash", "value"))).alias("_v"))
+    one, two = (values.select(F.col("user_id").alias(u), F.col("_v").alias(v)) for u, v in (("u1", "_v1"), ("u2", "_v2")))
+    agree = near.join(one, "u1").join(two, "u2").where(F.arrays_overlap("_v1", "_v2"))
+    return agree.select("u1", "u2", F.round("sim", DIGITS).alias("sim"))
 
 
 def _both_ways(model: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.measures import euclidean
+from quarry.sources.shared import kept
 
 Centres = dict[int, list[float]]
 
@@ -47,8 +48,8 @@ def collected(table: DataFrame) -> Centres:
 
 
 def first_centres(points: DataFrame, k: int, seed: int = 49) -> Centres:
-    """The point first by a seeded hash of the id, then always the one farthest from all chosen (ties by id)."""
-    row = points.orderBy(F.xxhash64("id", F.lit(seed)), "id").select("id", "vec").first()
+    """The point first by a seeded digest of the id, then always the one farthest from all chosen (ties by id)."""
+    row = points.orderBy(F.md5(F.concat_ws("-", F.lit(seed), "id")), "id").select("id", "vec").first()
     out: Centres = {}
     while row is not None and len(out) < k:
         out[len(out)] = list(row["vec"])
@@ -59,7 +60,7 @@ def first_centres(points: DataFrame, k: int, seed: int = 49) -> Centres:
 
 def kmeans(points: DataFrame, k: int, start: Centres | None = None, rounds: int = 200, seed: int = 49) -> DataFrame:
     """id, vec, cluster, distance of the last assignment; it stops when the objective does not fall. Empty clusters vanish and numbers close up."""
-    points = points.select("id", "vec").persist()
+    points = kept(points.select("id", "vec"), "points")
     centres = start or first_centres(points, k, seed)
     if not centres:
         return points.select("id", "vec", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.measures import cosine
 from quarry.functions.text import normal_words
+from quarry.sources.shared import kept
 
 TOP_WORDS = 200
 #: A word must make up so many millionths of all words.
@@ -15,9 +16,10 @@ DIGITS = 9
 
 
 def word_counts(texts: DataFrame, stopwords: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, word, f: words of the distinct texts of a key, without stop words and empty ones."""
+    """key, word, f: words of the distinct texts of a key, without stop words and empty ones. The table is stored, as all that follows reads it several times."""
     words = texts.select(key, text).distinct().select(key, F.explode(normal_words(F.col(text))).alias("word")).where("word <> ''")
-    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f")).join(stopwords, "word", "left_anti").select(key, "word", "f")
+    left = words.join(stopwords, "word", "left_anti")
+    return kept(left.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f")), "words")
 
 
 def without_rare(counts: DataFrame, per_million: int = RARE_PER_MILLION) -> DataFrame:
@@ -31,9 +33,9 @@ def without_rare(counts: DataFrame, per_million: int = RARE_PER_MILLION) -> Data
 def tf_idf(counts: DataFrame, key: str) -> DataFrame:
     """key, word, score = f / max f of the key * log2(keys / keys with the word), rounded."""
     n = counts.agg(F.count_distinct(key).alias("_n"))
-    top = counts.groupBy(key).agg(F.max("f").alias("_max"))
     df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    joined = counts.join(top, key).join(df, "word").join(n, F.lit(True))  # one row on the right
+    top = counts.withColumn("_max", F.max("f").over(Window.partitionBy(key)))
+    joined = top.join(df, "word").join(n, F.lit(True))  # one row on the right
     return joined.select(key, "word", F.round(F.col("f") / F.col("_max") * F.log2(F.col("_n") / F.col("_df")), DIGITS).alias("score"))
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import baskets as bk
-from quarry.operators import kmeans as km
 
 #: Words that the text queries leave out.
 STOPWORDS = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "on", "with", "as", "was", "at", "by", "an", "be", "this", "are", "or"]
@@ -53,8 +52,7 @@ def stopwords(spark: SparkSession, *more: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings, with their label as a cluster."""
-    rows = table(spark, sf_dir, "embeddings")
-    return km.vectors(rows, "vec_id", "embedding").join(rows.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("int").alias("cluster")), "id")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("int").alias("cluster"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +13,16 @@ from quarry.operators import bfr, cf, minhash, profiles, stats
 from quarry.operators import kmeans as km
 from quarry.plans import adapters as on
 from quarry.sources import writers
+from quarry.sources.shared import kept, shared_dir
 
 YEAR, TOP, HEAVY, PARTS, STATE = 1997, 10, 40, 8, "NATION_3"
 #: A set is frequent in one of 220 baskets.
 SHARE, SON_PARTS = 220, 4
 K = 10
+#: Brands that a pair of types must be in, of 25.
+MOST_BRANDS = 15
+#: Rounds that the SQL of K-Means writes out; at sf0.01 it converges in far fewer, and further rounds change nothing.
+SQL_ROUNDS = 40
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +54,7 @@ def _son(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _itemset_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, support = on.baskets(spark, sf_dir), _support(spark, sf_dir)
-    found = bk.son_candidates(pairs, support, F.pmod("basket", F.lit(SON_PARTS))).persist()
+    found = bk.son_candidates(pairs, support, F.pmod("basket", F.lit(SON_PARTS)))
     return writers.itemset_report(found, bk.count_sets(pairs, found).where(F.col("support") >= support))
 
 
@@ -83,7 +87,7 @@ def _user_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    business = _business_profile(spark, sf_dir).persist()
+    business = kept(_business_profile(spark, sf_dir), "profile")
     return profiles.content_predict(profiles.user_profile(on.texts(spark, sf_dir), business, "source", "doc_id"), business, "source", "doc_id")
 
 
@@ -96,13 +100,13 @@ def _user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _item_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = on.ratings(spark, sf_dir).persist()
+    train = kept(on.ratings(spark, sf_dir), "ratings")
     return cf.item_predict(train, train, cf.item_model(train))
 
 
 def _user_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = on.ratings(spark, sf_dir).persist()
-    return cf.user_predict(train, train, cf.user_model(train))
+    train = kept(on.ratings(spark, sf_dir), "ratings")
+    return cf.user_predict(train, train, kept(cf.user_model(train), "model"))
 
 
 def _start(points: DataFrame) -> km.Centres:
@@ -124,7 +128,28 @@ def _mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(bfr.merge_pairs(_cluster_stats(spark, sf_dir)), "a int, b int")
+    return bfr.merge_pairs(spark, _cluster_stats(spark, sf_dir))
+
+
+def _centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first centres of K-Means, each the point farthest from those before it."""
+    rows = [(c, d, x) for c, v in km.first_centres(on.points(spark, sf_dir), K).items() for d, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cluster int, dim int, value double")
+
+
+def _kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return km.kmeans(on.points(spark, sf_dir).select("id", "vec"), K).select("id", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance"))
+
+
+def _partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the real partitions after dealing by item."""
+    return stats.partition_profile(stats.dealt(on.reviews(spark, sf_dir), PARTS, F.col("item_id")))
+
+
+def _swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of part types that most brands have: the item of the other case is the key here."""
+    pairs = bk.baskets(on.table(spark, sf_dir, "part"), "p_brand", "p_type")
+    return _shown(bk.apriori(pairs, MOST_BRANDS, 2).where("size(items) = 2"))
 
 
 def _finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,12 +158,7 @@ def _finalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bfr(spark: SparkSession, sf_dir: str) -> bfr.BFR:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quarry-")
-    out = bfr.BFR(spark, f"{base.rstrip('/')}/bfr-{bfr.uuid.uuid4().hex}", 3)
+    out = bfr.BFR(spark, shared_dir(spark, "bfr"), 3)
     rows = on.points(spark, sf_dir).select("id", "vec")
     for k in range(2):  # all points, in two chunks
         out.feed(rows.where(F.pmod("id", F.lit(2)) == k))
@@ -153,11 +173,13 @@ QUERIES: dict[str, Query] = {
     "top_words": lambda s, d: stats.top_words(on.texts(s, d), TOP, on.stopwords(s, "", " ")),
     "category_avg_stars": lambda s, d: stats.category_averages(on.reviews(s, d), on.businesses(s, d), TOP, "item_id"),
     "heavy_items": lambda s, d: stats.heavy_items(on.reviews(s, d), HEAVY, "item_id"),
-    "partition_profile": lambda s, d: stats.partition_profile(on.reviews(s, d), PARTS, F.col("item_id")),
+    "partition_profile": _partitions,
+    "partition_rule": lambda s, d: stats.partition_profile(on.reviews(s, d), PARTS, F.col("item_id")),
     "state_user_item": lambda s, d: stats.reviews_in_state(on.reviews(s, d), on.states(s, d), STATE, "user_id", "supplier_id"),
     "frequent_items_1": _level(1),
     "frequent_items_2": _level(2),
     "frequent_items_3": _level(3),
+    "frequent_pairs_swapped": _swapped,
     "son_candidates": _son_candidates,
     "son_frequent": _son,
     "itemset_report": _itemset_report,
@@ -169,6 +191,7 @@ QUERIES: dict[str, Query] = {
     "business_profile": _business_profile,
     "user_profile": _user_profile,
     "content_predict": _content,
+    "ratings_last": lambda s, d: cf.ratings(on.reviews(s, d), dup="last"),
     "item_cf_model": _item_model,
     "user_cf_model": _user_model,
     "item_cf_predict": _item_predict,
@@ -180,7 +203,8 @@ QUERIES: dict[str, Query] = {
     "mahalanobis_assign": _mahalanobis,
     "cs_merge_pairs": _merge_pairs,
     "bfr_finalise": _finalise,
-    "kmeans_full": lambda s, d: km.kmeans(on.points(s, d).select("id", "vec"), K).select("id", F.col("cluster").cast("int").alias("cluster"), F.round("distance", 6).alias("distance")),
+    "farthest_first": _centres,
+    "kmeans_full": _kmeans,
     "bfr_full": lambda s, d: _bfr(s, d).finalise(),
     "bfr_round_report": lambda s, d: _bfr(s, d).round_report(),
 }
@@ -191,12 +215,14 @@ REVIEWS = "reviews AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_supp
 BUSINESS = "business AS (SELECT p_partkey AS item_id, p_type || ', ' || p_brand AS categories FROM part)"
 BASKETS = f"""pairs AS (SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey),
 need AS (SELECT ceil(count(DISTINCT basket) / {SHARE}.0) AS s FROM pairs)"""
-SETS = """one AS (SELECT {by} item AS items, count(*) AS support FROM {pairs} GROUP BY ALL),
-two AS (SELECT {bya} a.item || ',' || b.item AS items, count(*) AS support FROM {pairs} a JOIN {pairs} b ON a.basket = b.basket AND a.item < b.item GROUP BY ALL),
-three AS (SELECT {bya} a.item || ',' || b.item || ',' || c.item AS items, count(*) AS support FROM {pairs} a JOIN {pairs} b ON a.basket = b.basket AND a.item < b.item JOIN {pairs} c ON b.basket = c.basket AND b.item < c.item GROUP BY ALL),
-every AS (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three)"""
-WHOLE = SETS.format(by="", bya="", pairs="pairs")
-PARTED = f"parted AS (SELECT *, basket % {SON_PARTS} AS part FROM pairs), sizes AS (SELECT part, count(DISTINCT basket) AS n FROM parted GROUP BY part), " + SETS.format(by="part,", bya="a.part AS part,", pairs="parted")
+#: All subsets of all baskets, without a largest size; ``part`` is the part of the first phase.
+SUBSETS = f"""parted AS MATERIALIZED (SELECT *, basket % {SON_PARTS} AS part FROM pairs), sizes AS (SELECT part, count(DISTINCT basket) AS n FROM parted GROUP BY part),
+occ(part, basket, items, last) AS (SELECT part, basket, [item], item FROM parted UNION ALL SELECT o.part, o.basket, list_append(o.items, p.item), p.item FROM occ o JOIN parted p ON p.basket = o.basket AND p.item > o.last),
+counted AS MATERIALIZED (SELECT items, part, count(*) AS support FROM occ GROUP BY ALL),
+candidates AS (SELECT DISTINCT items FROM counted JOIN sizes USING (part) WHERE support >= (SELECT s FROM need) * n / (SELECT sum(n) FROM sizes)),
+frequent AS (SELECT items, CAST(sum(support) AS BIGINT) AS support FROM counted GROUP BY items HAVING sum(support) >= (SELECT s FROM need))"""
+SHOWN = "array_to_string(items, ',') AS items"
+LINES = "SELECT {section} AS section, CAST(len(items) AS INTEGER) AS size, string_agg('(' || chr(39) || array_to_string(items, chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY items) AS line FROM {sets} GROUP BY len(items)"
 HASHES = "hashes(hash, a, b, m) AS (VALUES " + ", ".join(map(str, minhash.parameters(50))) + ")"
 MEMBERS = "members AS (SELECT DISTINCT item_id, user_id FROM reviews)"
 SIGNATURES = f"{MEMBERS}, {HASHES}, sigs AS (SELECT item_id, hash, min((a * user_id + b) % m) AS value FROM members CROSS JOIN hashes GROUP BY 1, 2)"
@@ -240,6 +266,17 @@ assigned AS (SELECT id, CAST(c AS INTEGER) AS cluster, d FROM far QUALIFY row_nu
 STATS = f"""{POINTS}, st AS (SELECT cluster, dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM points GROUP BY 1, 2),
 mv AS (SELECT cluster, dim, s / n AS m, greatest(0, q / n - (s / n) * (s / n)) AS v FROM st)"""
 
+CENTRES = "pts AS MATERIALIZED (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m0 AS MATERIALIZED (SELECT 0 AS c, v FROM pts ORDER BY md5('49-' || id), id LIMIT 1)"
+for _i in range(1, K):
+    CENTRES += f""",
+m{_i} AS MATERIALIZED (SELECT c, v FROM m{_i - 1} UNION ALL (SELECT {_i}, any_value(p.v) FROM pts p CROSS JOIN m{_i - 1} m GROUP BY id HAVING min(list_distance(p.v, m.v)) > 0 ORDER BY min(list_distance(p.v, m.v)) DESC, id LIMIT 1))"""
+NEAREST = "SELECT id, p.v, c, list_distance(p.v, m.v) AS d FROM pts p CROSS JOIN {m} m QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_distance(p.v, m.v), c) = 1"
+CLUSTERED = f"{CENTRES}, a0 AS MATERIALIZED ({NEAREST.format(m=f'm{K - 1}')})"
+for _i in range(1, SQL_ROUNDS):
+    CLUSTERED += f""",
+r{_i} AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY c) - 1 AS c, list(x ORDER BY k) AS v FROM (SELECT c, k, avg(x) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM a{_i - 1}) GROUP BY c, k) GROUP BY c),
+a{_i} AS MATERIALIZED ({NEAREST.format(m=f"r{_i}")})"""
+
 ORACLE_SQL: dict[str, str] = {
     "reviews_total": f"WITH {REVIEWS} SELECT count(*) AS n FROM reviews",
     "reviews_in_year": f"WITH {REVIEWS} SELECT count(*) AS n FROM reviews WHERE year(date) = {YEAR}",
@@ -250,12 +287,16 @@ SELECT word, count(*) AS n FROM words WHERE regexp_replace(word, '^\s+|\s+$', ''
     "category_avg_stars": f"WITH {REVIEWS}, {BUSINESS} SELECT trim(c) AS category, sum(stars) / count(stars) AS avg_stars FROM (SELECT unnest(string_split(categories, ',')) AS c, stars FROM reviews JOIN business USING (item_id)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {TOP}",
     "heavy_items": f"WITH {REVIEWS} SELECT item_id, count(*) AS n FROM reviews GROUP BY 1 HAVING count(*) > {HEAVY}",
     "partition_profile": f"WITH {REVIEWS} SELECT CAST(item_id % {PARTS} AS INTEGER) AS partition_id, count(*) AS n_items FROM reviews GROUP BY 1",
+    "partition_rule": f"WITH {REVIEWS} SELECT CAST(item_id % {PARTS} AS INTEGER) AS partition_id, count(*) AS n_items FROM reviews GROUP BY 1",
     "state_user_item": f"WITH {REVIEWS} SELECT user_id, supplier_id FROM reviews JOIN supplier ON supplier_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{STATE}'",
-    "frequent_items_1": f"WITH {BASKETS}, {WHOLE} SELECT items, support FROM one WHERE support >= (SELECT s FROM need)",
-    "frequent_items_2": f"WITH {BASKETS}, {WHOLE} SELECT items, support FROM two WHERE support >= (SELECT s FROM need)",
-    "frequent_items_3": f"WITH {BASKETS}, {WHOLE} SELECT items, support FROM three WHERE support >= (SELECT s FROM need)",
-    "son_candidates": f"WITH {BASKETS}, {PARTED} SELECT DISTINCT items FROM every JOIN sizes USING (part) WHERE support >= (SELECT s FROM need) * n / (SELECT sum(n) FROM sizes)",
-    "son_frequent": f"WITH {BASKETS}, {WHOLE} SELECT items, support FROM every WHERE support >= (SELECT s FROM need)",
+    **{f"frequent_items_{k}": f"WITH RECURSIVE {BASKETS}, {SUBSETS} SELECT {SHOWN}, support FROM frequent WHERE len(items) = {k}" for k in (1, 2, 3)},
+    "frequent_pairs_swapped": f"""WITH pairs AS (SELECT DISTINCT p_brand AS basket, p_type AS item FROM part)
+SELECT a.item || ',' || b.item AS items, count(*) AS support FROM pairs a JOIN pairs b ON a.basket = b.basket AND a.item < b.item GROUP BY 1 HAVING count(*) >= {MOST_BRANDS}""",
+    "son_candidates": f"WITH RECURSIVE {BASKETS}, {SUBSETS} SELECT {SHOWN} FROM candidates",
+    "son_frequent": f"WITH RECURSIVE {BASKETS}, {SUBSETS} SELECT {SHOWN}, support FROM frequent",
+    "itemset_report": f"""WITH RECURSIVE {BASKETS}, {SUBSETS} SELECT 0 AS section, 0 AS size, 'Candidates:' AS line UNION ALL {LINES.format(section=0, sets="candidates")}
+UNION ALL SELECT 1, 0, 'Frequent Itemsets:' UNION ALL {LINES.format(section=1, sets="frequent")}""",
+    "ratings_last": f"WITH {REVIEWS} SELECT user_id, item_id, first(stars ORDER BY date DESC, stars DESC) AS stars FROM reviews GROUP BY 1, 2",
     "minhash_signature": f"WITH {REVIEWS}, {SIGNATURES} SELECT item_id, hash, CAST(value AS BIGINT) AS value FROM sigs",
     "lsh_candidates": f"WITH {REVIEWS}, {SIGNATURES}, {MET} SELECT k1, k2 FROM met",
     "similar_items": f"WITH {REVIEWS}, {SIGNATURES}, {MET}, {SHARED} SELECT k1 AS b1, k2 AS b2, sim FROM sims JOIN met USING (k1, k2) WHERE sim >= 0.05",
@@ -280,6 +321,8 @@ GROUP BY 1, 2 HAVING any_value(mean) + sum(gap * sim) / sum(sim) > 0""",
     "kmeans_assign_step": f"WITH {STEP} SELECT id, cluster FROM assigned",
     "kmeans_centroid_step": f"WITH {STEP} SELECT a.cluster, dim, round(avg(x), 6) AS value FROM assigned a JOIN points p ON p.id = a.id GROUP BY 1, 2",
     "kmeans_objective": f"WITH {STEP} SELECT round(sum(d), 6) AS objective FROM assigned",
+    "farthest_first": f"WITH {CENTRES} SELECT c AS cluster, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, unnest(v) AS value FROM m{K - 1}",
+    "kmeans_full": f"WITH {CLUSTERED} SELECT id, CAST(c AS INTEGER) AS cluster, round(d, 6) AS distance FROM a{SQL_ROUNDS - 1}",
     "cluster_stats": f"WITH {STATS} SELECT cluster, dim, n, round(s, 6) AS sum, round(q, 6) AS sumsq FROM st",
     "mahalanobis_assign": f"""WITH {STATS}, far AS (SELECT id, mv.cluster AS c, sqrt(sum(CASE WHEN v > 0 THEN (x - m) * (x - m) / v WHEN x = m THEN 0 ELSE 'inf'::DOUBLE END)) AS d, count(*) AS dims FROM points JOIN mv ON mv.dim = points.dim GROUP BY 1, 2)
 SELECT id, CAST(CASE WHEN d <= 2 * sqrt(dims) THEN c ELSE -1 END AS INTEGER) AS cluster FROM far QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, c) = 1""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -49,9 +49,8 @@ def points(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("pathGlobFilter", "*.txt").text(path).select("value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", ",")
     rows = lines.where(F.length(F.trim("value")) > 0).select(parts[0].cast("long").alias("id"), F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.cast("double")).alias("vec"), "file")
-    files = rows.select("file").distinct()
-    later = files.alias("a").join(files.alias("b"), F.col("a.file") > F.col("b.file"), "left").groupBy("a.file").agg(F.count("b.file").cast("int").alias("chunk"))
-    return rows.join(F.broadcast(later), "file").select("id", "vec", "chunk")
+    files = rows.select("file").distinct().withColumn("chunk", F.row_number().over(Window.orderBy("file")) - 1)  # a row for each file
+    return rows.join(files, "file").select("id", "vec", "chunk")
 
 
 def point_stream(spark: SparkSession, path: str) -> DataFrame:

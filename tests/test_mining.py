@@ -37,6 +37,56 @@ def test_son_is_brute_force(spark):
     assert sets(bk.son(pairs, 6, F.pmod("basket", F.lit(3)))) == want
 
 
+def test_sets_of_four_and_more(spark):
+    r = random.Random(6)
+    data = [set(r.sample("abcdefgh", r.randint(3, 7))) for _ in range(60)]
+    pairs = bk.baskets(spark.createDataFrame([(i, x) for i, b in enumerate(data) for x in b], "b int, x string"), "b", "x")
+    want = {}
+    for k in range(1, 8):
+        for c in itertools.combinations("abcdefgh", k):
+            n = sum(set(c) <= b for b in data)
+            if n >= 9:
+                want[c] = n
+    assert max(map(len, want)) >= 4
+    assert sets(bk.apriori(pairs, 9)) == sets(bk.fp_growth(pairs, 9)) == sets(bk.son(pairs, 9, F.pmod("basket", F.lit(4)))) == want
+    assert sets(bk.apriori(pairs, 9, 2)) == {c: n for c, n in want.items() if len(c) < 3}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_wide_hashes_find_similar_sets_of_any_key(spark):
+    r = random.Random(3)
+    base = [[f"m{r.randrange(5000)}" for _ in range(60)] for _ in range(40)]
+    data = [(f"k{2 * i}", m) for i, b in enumerate(base) for m in b] + [(f"k{2 * i + 1}", m) for i, b in enumerate(base) for m in b[:45] + [f"n{i}-{j}" for j in range(10)]]
+    df = spark.createDataFrame(data, "k string, m string")
+    exact = set(rows(minhash.similar(df, "k", "m", 0.4, n=None)))
+    found = set(rows(minhash.similar(df, "k", "m", 0.4, n=60, rows=3, wide=True)))
+    assert found <= exact and len(found) >= 0.9 * len(exact) >= 36
+    made = minhash.candidate_pairs(minhash.bands(minhash.signatures(df, 60, "k", "m", wide=True), 3, "k"), "k").count()
+    assert made < 0.2 * 80 * 79 / 2
+
+
+def test_user_model_is_brute_force(spark):
+    r = random.Random(4)
+    train = {(u, i): float(r.randint(1, 5)) for u in range(25) for i in r.sample(range(30), r.randint(1, 12))}
+    df = spark.createDataFrame([(*k, v) for k, v in train.items()], "user_id long, item_id long, stars double")
+    items = {u: {i for v, i in train if v == u} for u in range(25)}
+    of = minhash.parameters(30)
+    sigs = {u: {(h, min((a * i + b) % m for i in items[u])) for h, a, b, m in of} for u in items}
+    want = {}
+    for u, v in itertools.combinations(items, 2):
+        both = items[u] & items[v]
+        if min(len(items[u]), len(items[v])) < 3 or len(both) < 3 or not sigs[u] & sigs[v] or len(both) < 0.01 * len(items[u] | items[v]):
+            continue
+        x, y = [train[u, i] for i in both], [train[v, i] for i in both]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        over = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True))
+        spread = sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)
+        if over > 1e-9 and spread > 1e-9:
+            want[u, v] = over / math.sqrt(spread)
+    got = {(a, b): s for a, b, s in rows(cf.user_model(df))}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
 def test_jaccard_bounds(spark):
     data = [(1, x) for x in (1, 2, 3)] + [(2, x) for x in (2, 3, 4)] + [(3, 100)] + [(4, x) for x in range(100, 120)]
     df = spark.createDataFrame(data, "k int, m int")
@@ -90,14 +140,35 @@ def test_kmeans_golden(spark):
     assert rows(km.assign(tie, {0: [0.0], 1: [10.0]}).select("cluster")) == [(0,)]
 
 
-def test_cluster_statistics():
+def test_cluster_statistics(spark):
     s = bfr.Stats(4, [4.0, 8.0], [8.0, 24.0])
     assert s.mean() == [1.0, 2.0] and s.variance() == [1.0, 2.0]
     assert s.distance([2.0, 4.0]) == pytest.approx(math.sqrt(3))
     flat = bfr.Stats(2, [2.0], [2.0])
     assert flat.distance([1.0]) == 0.0 and flat.distance([1.5]) == math.inf
-    one, goes = bfr.merged({3: flat, 7: bfr.Stats(1, [1.0], [1.0])})
+    one, goes = bfr.merged(spark, {3: flat, 7: bfr.Stats(1, [1.0], [1.0])})
     assert goes == {3: 3, 7: 3} and one[3].n == 3
+    assert bfr.merged(spark, {}) == ({}, {})
+
+
+def test_pairs_of_sets_are_those_of_a_plain_loop(spark, monkeypatch):
+    r = random.Random(9)
+    stats = {}
+    for c in range(60):
+        x = [[r.gauss(c % 12 * 9, 1), r.choice([0.0, 5.0])] for _ in range(4)]
+        stats[3 * c] = bfr.Stats(4, [sum(p[i] for p in x) for i in (0, 1)], [sum(p[i] ** 2 for p in x) for i in (0, 1)])
+    limit = 2 * math.sqrt(2)
+    want = [(a, b) for a, b in itertools.combinations(sorted(stats), 2) if stats[a].distance(stats[b].mean()) <= limit or stats[b].distance(stats[a].mean()) <= limit]
+    monkeypatch.setattr(bfr, "CELLS", 5000)  # two blocks
+    assert rows(bfr.merge_pairs(spark, stats)) == sorted(want, key=repr)
+    assert 0 < bfr.merge_pairs(spark, stats, forest=True).count() < len(want)
+    groups = bfr.Groups()
+    for a, b in want:
+        groups.join(a, b)
+    merged, goes = bfr.merged(spark, stats)
+    assert goes == {c: groups.root(c) for c in stats} and sum(s.n for s in merged.values()) == 240
+    points = spark.createDataFrame([(i, [r.uniform(-5, 110), r.choice([0.0, 5.0, 2.0])]) for i in range(80)], "id long, vec array<double>")
+    assert rows(bfr.assign_within_many(points, stats).select("id", "cluster")) == rows(bfr.assign_within(points, stats).select("id", "cluster"))
 
 
 def test_bfr_keeps_every_point(spark, tmp_path):
@@ -112,3 +183,7 @@ def test_bfr_keeps_every_point(spark, tmp_path):
     last = run.report[-1]
     assert last[2] + last[4] + last[5] == seen
     assert run.finalise().count() == seen
+    again = bfr.BFR.resumed(spark, str(tmp_path), 2, rounds=5)
+    assert (again.ds, again.cs, again.report, again.retained, again.members, again.fed) == (run.ds, run.cs, run.report, run.retained, run.members, 1)
+    assert rows(again.finalise()) == rows(run.finalise())
+    assert bfr.BFR.resumed(spark, str(tmp_path / "new"), 2).report == []

@@ -1,5 +1,8 @@
+import pytest
 from conftest import rows
+from pyspark.errors import StreamingQueryException
 
+from quarry.operators.bfr import BFR
 from quarry.sources import readers, writers
 from quarry.streaming import bfr_stream
 
@@ -45,11 +48,40 @@ def test_stream_feeds_rounds(spark, tmp_path):
         (src / f"{k}.txt").write_text("".join(f"{100 * k + i},{i % 2 * 9 + i / 100},{k}\n" for i in range(30)))
 
     class Fed:
-        report: list = []
+        def __init__(self):
+            self.report, self.fed = [], -1
 
-        def feed(self, batch):
+        def feed(self, batch, number):
             self.report.append(batch.count())
+            self.fed = number
 
     fed = Fed()
     bfr_stream.run(readers.point_stream(spark, str(src)), fed, str(tmp_path / "check")).awaitTermination(60)
-    assert fed.report == [30, 30]
+    assert fed.report == [30, 30] and fed.fed == 1
+
+
+def test_stream_goes_on_after_a_failure(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    write = lambda k: (src / f"{k}.txt").write_text("".join(f"{100 * k + i},{i % 2 * 9 + i / 100},{i % 3}\n" for i in range(30)))
+    write(0)
+    run = lambda b: bfr_stream.run(readers.point_stream(spark, str(src)), b, str(tmp_path / "check")).awaitTermination(120)
+    first = BFR(spark, str(tmp_path / "work"), 2, rounds=5)
+    run(first)
+    write(1)
+
+    class Fails(BFR):
+        def _commit(self):
+            raise RuntimeError("lost")
+
+    broken = Fails.resumed(spark, str(tmp_path / "work"), 2, rounds=5)
+    with pytest.raises(StreamingQueryException):
+        run(broken)
+    again = BFR.resumed(spark, str(tmp_path / "work"), 2, rounds=5)
+    assert again.report == first.report
+    run(again)
+    write(2)
+    last = BFR.resumed(spark, str(tmp_path / "work"), 2, rounds=5)
+    run(last)
+    assert [r[2] + r[4] + r[5] for r in last.report] == [30, 60, 90]
+    assert sorted(r.id for r in last.finalise().collect()) == sorted(100 * k + i for k in range(3) for i in range(30))
