@@ -7,8 +7,6 @@ named by ``spark.checkpoint.dir``.  Partition counts follow
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,23 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.sources import shared
+from quarry.sources.shared import shared_dir
+
+__all__ = ["shared_dir"]
+
 #: Bytes of input (as the planner estimates them) for each partition of a shuffle.
 PARTITION_BYTES = 8 << 20
 #: Most range partitions; they stream their rows, so more would only shorten the tasks.
 MOST_RANGES = 16384
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one run of an operator, which driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a folder and the folder's path in it."""
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -44,8 +36,7 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 def stored(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Writes a table in a shared folder and reads it again: its lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.stored(df, path)
 
 
 def size_of(df: DataFrame) -> int:

@@ -6,10 +6,13 @@ A class is named by 64 bits of its set, and a second, independent 64 bits are
 compared for all documents of a name; sets that share a name but not the second
 half are named by that one.  So sets are told apart by 128 bits.
 
-1. Every shingle goes, as a 64-bit hash with its class, to a range of hashes.
-   There each shingle's classes are counted, and a shingle in two or more of
-   them is sent back to these with its count.  A shingle of one class can be in
-   no intersection; only its number matters.
+1. Documents are parked in blocks.  A block sends each of its shingles once, as
+   a 64-bit hash with the number of its classes that have it, to a range of
+   hashes, so that a shingle of all documents is a row a block.  There the
+   numbers are summed up, and the block is told which of its shingles occur
+   again, and how often (copies of a class in several blocks count as often).
+   A shingle that no other document has can be in no intersection; only its
+   number matters.  Each class is then worked on in one block that has it.
 2. Tokens of a set are ordered by count, ties by hash.  Two sets of a
    similarity of 0.8 share t = ceil(0.8 n) tokens of either set of n tokens.
    Rare tokens are indexed alone; frequent ones (in over ``FREQUENT`` classes)
@@ -48,7 +51,7 @@ extra columns are kept by ``component_filter``; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import free, mix, partitions, shared_dir, slices, stored
+from quarry.llm.blocks import park, read_block
+from quarry.llm.common import MOST_RANGES, free, mix, partitions, shared_dir, size_of, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, shingles, squeeze, squeeze_sorted
 
 SHINGLE = 5
@@ -70,8 +74,11 @@ SMALL = 14
 BITS = 512
 #: Parts of the sets under a signature.
 SALTS = 8
-#: Shingles that a task gathers before it sends them on.
-BLOCK = 2_000_000
+#: Bytes of text (as the planner estimates them) whose tokens a range counts at a time.
+PIECE_BYTES = 16 << 20
+#: Rows between the steps: kind, the block or range that it belongs to, its piece, and what it holds.
+ROW = "kind int, to long, at long, a binary, b binary, c binary, d binary, e binary"
+MEMBERS, TOKENS, ANSWERS, OWNED = range(4)
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -114,18 +121,173 @@ def _sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     return shingles([t.lower().split() if t else [] for t in texts], k)
 
 
-def members(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """key, n_shingles, class and check (both halves of the set's name) of each document; those of an empty set are null."""
+def _row(kind: int, to: int, at: int, *data: bytes) -> pa.RecordBatch:
+    filled = [*data, *[b""] * (5 - len(data))]
+    return pa.RecordBatch.from_arrays([pa.array([kind], type=pa.int32()), pa.array([to], type=pa.int64()), pa.array([at], type=pa.int64()), *(pa.array([x], type=pa.binary()) for x in filled)], names=["kind", "to", "at", "a", "b", "c", "d", "e"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
-            sets = _sets(texts, k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array([of(s) if len(s) else None for s in sets], type=pa.int64()) for of in (class_of, check_of))],
-                names=["key", "n_shingles", "class", "check"],
-            )
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, class long, check long")
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in batch.columns)
+
+
+def _block_sets(folder: str, name: int, k: int) -> tuple[pa.Table, list[np.ndarray]]:
+    table = read_block(folder, name)
+    batch = pa.RecordBatch.from_arrays([table.column("text").combine_chunks()], names=["text"])
+    return table, [s for _, texts in slices(iter([batch]), "text") for s in _sets(texts, k)]
+
+
+def _block_tokens(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a block's different sets, ascending, and in how many of them each is; sets of fewer than ``least`` tokens do not count."""
+    each = {(class_of(s), check_of(s)): s for s in sets if len(s) >= least}
+    if not each:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    return np.unique(np.concatenate(list(each.values())), return_counts=True)
+
+
+def least_size(percent: int) -> int:
+    """Tokens of the smallest set that another one may be similar to."""
+    return 2 if percent > 50 else 1
+
+
+class Sets:
+    """The sets of a table of documents: their members, and the tokens that occur in several."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> None:
+        self.spark, self.folder, self.k, self.least = spark, folder, k, least_size(percent)
+        self.n = partitions(spark, docs)
+        ranges = min(self.n, MOST_RANGES)
+        pieces = max(1, -(-size_of(docs) // (PIECE_BYTES * ranges)))
+        cuts, least = part_cuts(ranges * pieces), self.least
+        blocks = park(spark, docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), folder, "key", "text")
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    table, sets = _block_sets(folder, name, k)
+                    keys = table.column("key").combine_chunks()
+                    names, checks = (np.array([of(s) if len(s) else 0 for s in sets], dtype=np.int64) for of in (class_of, check_of))
+                    yield _row(MEMBERS, name, 0, np.asarray(keys.fill_null(0), dtype=np.int64).tobytes(), np.asarray(keys.is_valid()).tobytes(), np.array([len(s) for s in sets], dtype=np.int64).tobytes(), names.tobytes(), checks.tobytes())
+                    tokens, counts = _block_tokens(sets, least)
+                    ends = np.append(np.searchsorted(tokens, cuts[::pieces]), len(tokens))
+                    for p in np.flatnonzero(np.diff(ends)).tolist():
+                        a, b = ends[p], ends[p + 1]
+                        yield _row(TOKENS, p, 0, np.int64(name).tobytes(), squeeze_sorted(tokens[a:b]), squeeze(counts[a:b].astype(np.uint32)))
+
+        def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Tokens of a range by its pieces, so that a range of any size is counted piece by piece."""
+            for kind, to, at, *data in _rows(batches):
+                if kind != TOKENS:
+                    yield _row(kind, to, -1, *data)
+                    continue
+                tokens, counts = expand_sorted(data[1]), expand(data[2], np.uint32)
+                ends = np.append(np.searchsorted(tokens, cuts[to * pieces : (to + 1) * pieces]), len(tokens))
+                for p in np.flatnonzero(np.diff(ends)).tolist():
+                    a, b = ends[p], ends[p + 1]
+                    yield _row(TOKENS, to, p, data[0], squeeze_sorted(tokens[a:b]), squeeze(counts[a:b]))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+            now = (-1, -1)
+
+            def answers() -> Iterator[pa.RecordBatch]:
+                tokens, counts = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+                order = np.argsort(tokens)
+                first = np.flatnonzero(np.concatenate(([True], tokens[order][1:] != tokens[order][:-1])))
+                total = np.empty(len(tokens), dtype=np.int64)
+                total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(tokens))))
+                ends = np.cumsum([0, *(len(h[1]) for h in held)])
+                for (name, *_), a, b in zip(held, ends, ends[1:], strict=False):
+                    again = total[a:b] > 1
+                    yield _row(ANSWERS, int(np.frombuffer(name, dtype=np.int64)[0]), now[0] * pieces + now[1], np.packbits(again).tobytes(), squeeze(total[a:b][again]), int(b - a).to_bytes(8, "little"))
+                held.clear()
+
+            for kind, to, at, *data in _rows(batches):
+                if kind != TOKENS:
+                    yield _row(kind, to, at, *data)
+                    continue
+                if (to, at) != now and held:
+                    yield from answers()
+                now = (to, at)
+                held.append((data[0], expand_sorted(data[1]), expand(data[2], np.uint32)))
+            if held:
+                yield from answers()
+
+        dealt = blocks.repartitionById(self.n, F.pmod("block", F.lit(self.n)).cast("int")).mapInArrow(spread, ROW)
+        ranged = dealt.repartitionById(ranges, F.pmod("to", F.lit(ranges)).cast("int"))
+        if pieces > 1:
+            ranged = ranged.mapInArrow(recut, ROW).sortWithinPartitions("at")
+        self.told = stored(spark, ranged.mapInArrow(count, ROW), f"{folder}/told")
+        listed = stored(spark, self.told.where(f"kind = {MEMBERS}").mapInArrow(_listed, "key long, n_shingles long, class long, check long, block long"), f"{folder}/members")
+        shared = shared_names(listed)
+        name = F.when(F.col("class").isin(list(shared)), F.col("check")).otherwise(F.col("class")) if shared else F.col("class")
+        #: key, n_shingles, class (null for the empty set), check and block of each document.
+        self.members = listed.select("key", "n_shingles", name.alias("class"), "check", "block")
+        self.shared = shared
+
+    def tokens(self) -> DataFrame:
+        """Tokens that occur again, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token)."""
+        folder, k, least, shared = self.folder, self.k, self.least, self.shared
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            name, owned = -1, np.zeros(0, dtype=np.int64)
+            masks: list[np.ndarray] = []
+            totals: list[np.ndarray] = []
+
+            def done() -> Iterator[pa.RecordBatch]:
+                if not len(owned) or not masks:
+                    return
+                _, sets = _block_sets(folder, name, k)
+                tokens, _ = _block_tokens(sets, least)
+                count = np.ones(len(tokens), dtype=np.int64)
+                count[np.concatenate(masks)] = np.concatenate(totals)
+                todo = set(owned.tolist())
+                own: dict[int, np.ndarray] = {}
+                for s in sets:
+                    if len(s) >= least and (c := class_of(s, shared)) in todo and c not in own:
+                        own[c] = s
+                if own:
+                    yield from _by_class(own, tokens, count)
+
+            for kind, to, _, a, b, c, *_ in _rows(batches):
+                if to != name:
+                    yield from done()
+                    name, owned = to, np.zeros(0, dtype=np.int64)
+                    masks.clear(), totals.clear()
+                if kind == OWNED:
+                    owned = np.frombuffer(a, dtype=np.int64)
+                else:
+                    masks.append(np.unpackbits(np.frombuffer(a, dtype=np.uint8), count=int.from_bytes(c, "little")).astype(bool))
+                    totals.append(expand(b, np.int64))
+            yield from done()
+
+        owner = self.members.where("class is not null").groupBy("class").agg(F.min("block").alias("block"))
+        owned = owner.repartition(self.n, "block").sortWithinPartitions("block").select("block", "class").mapInArrow(_owned, ROW)
+        rows = self.told.where(f"kind = {ANSWERS}").unionAll(owned)
+        dealt = rows.repartitionById(self.n, F.pmod("to", F.lit(self.n)).cast("int")).sortWithinPartitions("to", "at", "kind")
+        return dealt.mapInArrow(run, "class long, n long, tokens binary, counts binary")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, name, _, keys, known, sizes, names, checks in _rows(batches):
+        n = np.frombuffer(sizes, dtype=np.int64)
+        columns = [pa.array(np.frombuffer(keys, dtype=np.int64), mask=~np.frombuffer(known, dtype=bool)), pa.array(n), *(pa.array(np.frombuffer(x, dtype=np.int64), mask=n == 0) for x in (names, checks)), pa.array(np.full(len(n), name))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "n_shingles", "class", "check", "block"])
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of each block, which come one after another, as a row."""
+    now, held = None, []
+    for batch in batches:
+        for block, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if block != now and held:
+                yield _row(OWNED, now, -1, np.array(held, dtype=np.int64).tobytes())
+                held = []
+            now = block
+            held.append(name)
+    if held:
+        yield _row(OWNED, now, -1, np.array(held, dtype=np.int64).tobytes())
 
 
 def shared_names(of: DataFrame) -> frozenset[int]:
@@ -133,99 +295,23 @@ def shared_names(of: DataFrame) -> frozenset[int]:
     return frozenset(r["class"] for r in of.groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("class").collect())
 
 
-def shared_tokens(spark: SparkSession, docs: DataFrame, text: str = "text", k: int = SHINGLE, names_shared: frozenset[int] = frozenset()) -> DataFrame:
-    """Tokens that two or more classes have, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token)."""
-    n_parts = partitions(spark, docs)
-    cuts = part_cuts(n_parts)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            names = np.fromiter(held, dtype=np.int64, count=len(held))
-            lengths = np.array([len(s) for s in held.values()], dtype=np.int64)
-            tokens, owner = np.concatenate(list(held.values())), np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
-            held.clear()
-            size = 0
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], owner[order]
-            at = np.append(np.searchsorted(tokens, cuts), len(tokens))
-            for p, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                if b > a:
-                    used, place = np.unique(owner[a:b], return_inverse=True)
-                    row = [squeeze_sorted(tokens[a:b]), squeeze(place.astype(np.uint32)), names[used].tobytes(), squeeze(lengths[used].astype(np.uint32))]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], type=pa.int32()), *(pa.array([x], type=pa.binary()) for x in row)], names=["part", "tokens", "owner", "names", "sizes"])
-
-        for _, texts in slices(batches, "text"):
-            for s in _sets(texts, k):
-                if len(s) > 1 and (name := class_of(s, names_shared)) not in held:
-                    held[name] = s
-                    size += len(s)
-            if size >= BLOCK:
-                yield from flush()
-        if held:
-            yield from flush()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
-        for batch in batches:
-            for p, tokens, owner, names, sizes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                place = expand(owner, np.uint32)
-                parts.setdefault(p, []).append((expand_sorted(tokens), np.frombuffer(names, dtype=np.int64)[place], expand(sizes, np.uint32)[place]))
-        for p in list(parts):
-            tokens, name, size = (np.concatenate(x) for x in zip(*parts.pop(p), strict=True))
-            order = np.lexsort((name, tokens))
-            tokens, name, size = tokens[order], name[order], size[order]
-            once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (name[1:] != name[:-1])))
-            tokens, name, size = tokens[once], name[once], size[once]
-            starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-            counts = np.diff(np.append(starts, len(tokens)))
-            each = np.repeat(counts, counts)
-            tokens, name, size, each = tokens[each > 1], name[each > 1], size[each > 1], each[each > 1].astype(np.int64)
-            yield _parcels(name, size, tokens, each, n_parts)
-
-    rows = docs.select(F.col(text).alias("text"))
-    dealt = rows.mapInArrow(spread, "part int, tokens binary, owner binary, names binary, sizes binary").repartitionById(n_parts, "part")
-    sent = dealt.mapInArrow(count, "bucket int, names binary, sizes binary, lengths binary, tokens binary, counts binary").repartitionById(n_parts, "bucket")
-    return sent.mapInArrow(_by_class, "class long, n long, tokens binary, counts binary")
-
-
-def _parcels(name: np.ndarray, size: np.ndarray, tokens: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Tokens by a bucket of their class, one row for each bucket."""
-    bucket = (mix(name.view(U64)) % U64(buckets)).astype(np.int64)
-    order = np.lexsort((name, bucket))
-    bucket, name, size, tokens, counts = (x[order] for x in (bucket, name, size, tokens, counts))
-    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(name) else np.zeros(0, dtype=np.int64)
-    rows: list[list[bytes]] = [[] for _ in range(5)]
-    for a, b in zip(starts, np.append(starts, len(name))[1:], strict=True):
-        first = np.flatnonzero(np.concatenate(([True], name[a + 1 : b] != name[a : b - 1])))
-        parts = (name[a:b][first].tobytes(), squeeze(size[a:b][first].astype(np.uint32)), squeeze(np.diff(np.append(first, b - a)).astype(np.uint32)), tokens[a:b].tobytes(), squeeze(counts[a:b].astype(np.uint32)))
-        for out, x in zip(rows, parts, strict=True):
-            out.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], type=pa.int32()), *(pa.array(x, type=pa.binary()) for x in rows)], names=["bucket", "names", "sizes", "lengths", "tokens", "counts"])
-
-
-def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Gathers parcels: one row for each class, its tokens by (count, token)."""
-    got: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        for names, sizes, lengths, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-            times = expand(lengths, np.uint32)
-            got.append((np.repeat(np.frombuffer(names, dtype=np.int64), times), np.repeat(expand(sizes, np.uint32), times), np.frombuffer(tokens, dtype=U64), expand(counts, np.uint32)))
-    if not got:
-        return
-    name, size, tokens, counts = (np.concatenate(x) for x in zip(*got, strict=True))
-    got.clear()
+def _by_class(own: dict[int, np.ndarray], known: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each class: its tokens that occur again, by (count, token)."""
+    lengths = np.array([len(s) for s in own.values()], dtype=np.int64)
+    names = np.fromiter(own, dtype=np.int64, count=len(own))
+    tokens, name = np.concatenate(list(own.values())), np.repeat(np.arange(len(own)), lengths)
+    counts = count[np.searchsorted(known, tokens)]
+    again = counts > 1
+    tokens, name, counts = tokens[again], name[again], counts[again]
     order = np.lexsort((tokens, counts, name))
-    name, size, tokens, counts = name[order], size[order].astype(np.int64), tokens[order], counts[order].astype(np.int64)
-    ends = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name))
+    tokens, name, counts = tokens[order], name[order], counts[order]
+    ends = np.append(np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))), len(name)) if len(name) else np.zeros(1, dtype=np.int64)
     for j in range(0, len(ends) - 1, 1024):
         cut = ends[j : j + 1025]
         offsets = pa.py_buffer(((cut - cut[0]) * 8).astype(np.int32))
         binary = [pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, pa.py_buffer(x[cut[0] : cut[-1]].tobytes())]) for x in (tokens, counts)]
-        yield pa.RecordBatch.from_arrays([pa.array(name[cut[:-1]]), pa.array(size[cut[:-1]]), *binary], names=["class", "n", "tokens", "counts"])
+        which = name[cut[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(names[which]), pa.array(lengths[which]), *binary], names=["class", "n", "tokens", "counts"])
 
 
 def signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -337,9 +423,10 @@ def by_signature(rows: DataFrame, *found: Column) -> tuple[DataFrame, DataFrame]
     return rows.withColumn("part", F.pmod(F.hash("class"), F.lit(SALTS))), whole
 
 
-def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text", k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT, names_shared: frozenset[int] = frozenset()) -> DataFrame:
+def links(spark: SparkSession, all_sets: Sets, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Links (a, b, shared) between similar classes, enough of them to join their components."""
-    found = stored(spark, candidates(shared_tokens(spark, docs, text, k, names_shared), percent, frequent), f"{folder}/candidates")
+    folder = all_sets.folder
+    found = stored(spark, candidates(all_sets.tokens(), percent, frequent), f"{folder}/candidates")
     sets = found.select("class", "n", "tokens")
     rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight", (F.octet_length("tokens") / 8).cast("int").alias("own")).select("s.sig", "s.left", "class", "n", "weight", "own")
     pair = (F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))
@@ -371,11 +458,9 @@ def links(spark: SparkSession, docs: DataFrame, folder: str, text: str = "text",
 def _rooted(spark: SparkSession, docs: DataFrame, key: str, text: str, k: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """key, n_shingles, class, root (a name of the class's component), component_id of each document."""
     folder = shared_dir(spark, "ngrams")
-    of = stored(spark, members(docs, key, text, k), f"{folder}/members")
-    shared = shared_names(of)
-    if shared:
-        of = of.withColumn("class", F.when(F.col("class").isin(list(shared)), F.col("check")).otherwise(F.col("class")))
-    roots = components(spark, links(spark, docs, folder, text, k, percent, frequent, shared), f"{folder}/components")
+    sets = Sets(spark, docs, folder, key, text, k, percent)
+    of = sets.members
+    roots = components(spark, links(spark, sets, percent, frequent), f"{folder}/components")
     least = of.where("class is not null").groupBy("class").agg(F.min("key").alias("first"), F.count("*").alias("copies"))
     rooted = least.join(roots, F.col("class") == F.col("node"), "left").select("class", "first", "copies", F.coalesce("root", "class").alias("root"), F.col("root").isNotNull().alias("linked"))
     # only classes with copies or links need a look-up

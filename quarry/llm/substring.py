@@ -45,17 +45,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.blocks import park, read_block
 from quarry.llm.common import MOST_RANGES, free, open_fs, partitions, range_bounds, shared_dir, size_of, slices, stored, without
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, squeeze, squeeze_sorted, windows
 
 WINDOW = 13
-#: Bytes of text in a block, if it is not one long text.
-BLOCK_BYTES = 8 << 20
 #: Bytes of text (as the planner estimates them) whose windows a range sorts at a time.
 PIECE_BYTES = 16 << 20
 #: Runs of a range that are compacted to one.
@@ -112,10 +110,7 @@ class Block:
     """A block's documents; windows are numbered through all of them, in their order."""
 
     def __init__(self, folder: str, name: int, key: str, text: str, k: int) -> None:
-        fs, base = open_fs(folder)
-        with fs.open_input_file(f"{base}/block-{name:016x}") as f:
-            self.table = pa.ipc.open_file(f).read_all().combine_chunks()
-        self.k, self.text = k, text
+        self.table, self.k = read_block(folder, name), k
         keys = self.table.column(key).combine_chunks()
         self.keys, self.known = np.asarray(keys.fill_null(0), dtype=np.int64), np.asarray(keys.is_valid())
         self.texts = self.table.column(text).combine_chunks().cast(pa.binary())
@@ -295,34 +290,6 @@ class WindowIndex:
         self.runs: list[dict[int, str]] = []  # the run file of each range; at most MOST_RANGES names a run
         open_fs(folder)[0].create_dir(open_fs(folder)[1], recursive=True)
 
-    def _parked(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        folder = self.folder
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            fs, base = open_fs(folder)
-            held: list[pa.RecordBatch] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                table = pa.Table.from_batches(held)
-                table = table.take(pc.sort_indices(table.column(key), null_placement="at_start"))
-                name = uuid.uuid4().int >> 66
-                with fs.open_output_stream(f"{base}/block-{name:016x}") as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(table)
-                held.clear()
-                return row(BLOCK, name)
-
-            for batch, texts in slices(batches, text):
-                held.append(batch)
-                size += sum(len(t or b"") + 16 for t in texts)
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    size = 0
-            if held:
-                yield flush()
-
-        return stored(self.spark, docs.mapInArrow(run, ROW), f"{folder}/blocks-{uuid.uuid4().hex}")
-
     def _windows(self, key: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """Of each block, its windows by range, one of each hash, and the hits inside it."""
         folder, parts, k, bits = self.folder, self.parts, self.window, self.bits
@@ -362,7 +329,9 @@ class WindowIndex:
         fields = without(docs.schema.fields, ADDED)
         (name_of_key,) = free([f.name for f in fields], "_key")
         n = partitions(spark, docs)
-        parked = self._parked(docs.select(*(f.name for f in fields), F.col(key).cast("long").alias(name_of_key)), name_of_key, text)
+        blocks = park(spark, docs.select(*(f.name for f in fields), F.col(key).cast("long").alias(name_of_key)), folder, name_of_key, text)
+        none = F.lit(b"").cast("binary")
+        parked = blocks.select(F.lit(BLOCK).alias("kind"), F.col("block").alias("to"), *(none.alias(c) for c in "abcd"))
         dealt = lambda df, m, to: df.repartitionById(m, F.pmod(to, F.lit(m)).cast("int"))
         spread = dealt(dealt(parked, n, F.col("to")).mapInArrow(self._windows(name_of_key, text), ROW), parts, F.col("to"))
         if pieces > 1:

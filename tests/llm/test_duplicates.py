@@ -142,6 +142,20 @@ def test_ngram_join_is_brute_force(spark, frequent):
     assert kept == {i for i, (_, c) in got.items() if c == i}
 
 
+@pytest.mark.parametrize("small", [1000, 1 << 30])
+def test_ngram_join_of_many_blocks_and_pieces(spark, monkeypatch, tmp_path, small):
+    """A third of the rows are copies and another part shares a passage; ranges are cut into pieces, as for large tables."""
+    r = random.Random(8)
+    docs = [(i, t) for i, t in corpus(9, 60) if t is not None]
+    docs = [(3 * i, t) for i, (_, t) in enumerate(docs)] + [(3 * i + 1, docs[5][1]) for i in range(40)] + [(3 * i + 2, docs[7][1] + " " + r.choice(WORDS)) for i in range(30)]
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", small)
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs")).repartition(12)
+    assert common.size_of(df) > 4 * 1000
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(spark, df, frequent=2).collect()}
+    assert got == brute_components(docs)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_similar_sets_share_a_signature(seed):
     r = np.random.default_rng(seed)
@@ -284,7 +298,7 @@ def test_large_similar_sets_share_a_signature(seed):
 def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
     docs = corpus(5, 40)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    names = ngram_join.members(df).where("class is not null").select("class").distinct().limit(12).collect()
+    names = ngram_join.Sets(spark, df, common.shared_dir(spark, "t")).members.where("class is not null").select("class").distinct().limit(12).collect()
     monkeypatch.setattr(ngram_join, "shared_names", lambda of: frozenset(r["class"] for r in names))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark, df, frequent=2).collect()}
     assert got == brute_components(docs)
