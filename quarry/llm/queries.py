@@ -123,7 +123,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text before and after three edits, from kept trees, with the leaves that were encoded again."""
     kept = token_counts.trees(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
     kept = stored(spark, kept, f"{shared_dir(spark, 'trees')}/kept").withColumn("edits", token_counts.trial_edits("text"))
-    return token_counts.edited_counts(kept, tokenizer_path(), tree="tree").select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
+    return token_counts.edited_counts(kept, tokenizer_path(), tree="tree", last=True).select("doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", F.sha2("edited", 256).alias("edited_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -245,8 +245,9 @@ def counter(tokenizer: str) -> Callable[[list[bytes]], list[int]]:
     return lambda pieces: [sum(map(known.__getitem__, p.split())) for p in pieces]
 
 
-def _mapped(df: DataFrame, text: str, added: dict[str, T.DataType], of: Callable[[pa.RecordBatch, list[bytes | None]], dict[str, list]]) -> DataFrame:
-    fields = without(df.schema.fields, added)
+def _mapped(df: DataFrame, text: str, added: dict[str, T.DataType], of: Callable[[pa.RecordBatch, list[bytes | None]], dict[str, list]], used: tuple[str, ...] = ()) -> DataFrame:
+    """Adds columns; those that are ``used`` up do not come back."""
+    fields = without(df.schema.fields, [*added, *used])
     kinds = {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,9 +275,9 @@ def trees(df: DataFrame, tokenizer: str, text: str = "text", tree: str = "tree")
     return _mapped(df, text, {"n_tokens": T.LongType(), tree: T.BinaryType()}, of)
 
 
-def edited_counts(df: DataFrame, tokenizer: str, edits: str = "edits", text: str = "text", tree: str | None = None) -> DataFrame:
-    """Adds n_tokens, n_tokens_edited, n_pieces (leaves), n_encoded (leaves encoded by edits), edited and edited_tree, given a column of edits: array<struct<start, stop, insert>>, and perhaps one of kept trees."""
-    added = {"n_tokens": T.LongType(), "n_tokens_edited": T.LongType(), "n_pieces": T.LongType(), "n_encoded": T.LongType(), "edited": T.StringType(), "edited_tree": T.BinaryType()}
+def edited_counts(df: DataFrame, tokenizer: str, edits: str = "edits", text: str = "text", tree: str | None = None, last: bool = False) -> DataFrame:
+    """Adds n_tokens, n_tokens_edited, n_pieces (leaves), n_encoded (leaves encoded by edits), edited and edited_tree, given a column of edits: array<struct<start, stop, insert>>, and perhaps one of kept trees. If these are the ``last`` edits, the text, the edits and the trees do not come back."""
+    added = {"n_tokens": T.LongType(), "n_tokens_edited": T.LongType(), "n_pieces": T.LongType(), "n_encoded": T.LongType(), "edited": T.StringType()} | ({} if last else {"edited_tree": T.BinaryType()})
 
     def of(batch: pa.RecordBatch, texts: list[bytes | None]) -> dict[str, list]:
         count = counter(tokenizer)
@@ -293,10 +294,11 @@ def edited_counts(df: DataFrame, tokenizer: str, edits: str = "edits", text: str
             rows["n_tokens_edited"].append(own.total)
             rows["n_encoded"].append(own.encoded)
             rows["edited"].append(own.text().decode("utf-8", "replace"))
-            rows["edited_tree"].append(own.table())
+            if not last:
+                rows["edited_tree"].append(own.table())
         return rows
 
-    return _mapped(df, text, added, of)
+    return _mapped(df, text, added, of, (text, edits, *([tree] if tree else [])) if last else ())
 
 
 def trial_edits(text: str) -> Column:

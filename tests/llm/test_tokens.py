@@ -167,6 +167,9 @@ def test_kept_trees_are_not_encoded_again(spark):
     edits = kept.withColumn("edits", token_counts.trial_edits("text"))
     one = token_counts.edited_counts(edits, PATH, tree="tree").drop("tree").collect()
     assert one == token_counts.edited_counts(edits, PATH).drop("tree").collect()
+    last = token_counts.edited_counts(edits, PATH, tree="tree", last=True)
+    assert last.columns == ["doc_id", "n_tokens", "n_tokens_edited", "n_pieces", "n_encoded", "edited"]
+    assert [tuple(r) for r in last.collect()] == [(r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_pieces, r.n_encoded, r.edited) for r in one]
     again = token_counts.edited_counts(edits, PATH, tree="tree").select("doc_id", F.col("edited").alias("text"), F.col("edited_tree").alias("tree")).withColumn("edits", token_counts.trial_edits("text"))
     for r in token_counts.edited_counts(again, PATH, tree="tree").collect():
         assert r.n_tokens_edited == token_counts.TokenTree.fresh(r.edited.encode(), token_counts.counter(PATH)).total
