@@ -33,7 +33,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,6 +91,13 @@ class Model:
     bias: list[float]
     threshold: list[float]
 
+    def levels(self) -> dict[str, list[tuple[int, int]]]:
+        """Of each property, how many words a feature asks for, and the feature's place."""
+        out: dict[str, list[tuple[int, int]]] = {}
+        for name, place in self.features.items():
+            out.setdefault(name.rsplit("@", 1)[0], []).append((int(name.rsplit("@", 1)[1]), place))
+        return out
+
     def probabilities(self, places: list[int]) -> list[float]:
         out: list[float] = []
         for w, e, b in zip(self.weights, self.earlier, self.bias, strict=True):
@@ -268,36 +275,52 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
     return train_chain([r["places"] for r in got], labels_of, features, names, folds, fits_in_tasks(spark))
 
 
+def probabilities_of(texts: Iterable[bytes | None], model: Model, dull: set[bytes], sharp: dict[bytes, list[str]]) -> np.ndarray:
+    """A row of the chain's probabilities for each text. Words without a property that the model knows, and the others with theirs, are remembered between calls."""
+    levels: dict[str, list[tuple[int, int]]] = model.levels()
+    rows = []
+    for t in texts:
+        counts: Counter = Counter()
+        for w in set(t.split()).difference(dull) if t else ():
+            if (known := sharp.get(w)) is None:
+                known = [f for f in word_features(w) if f in levels]
+                if not known:
+                    if len(dull) > 500_000:
+                        dull.clear()
+                    dull.add(w)
+                    continue
+                if len(sharp) > 100_000:
+                    sharp.clear()
+                sharp[w] = known
+            counts.update(known)
+        rows.append(model.probabilities(sorted(place for f, n in counts.items() for k, place in levels[f] if k <= n)))
+    return np.array(rows, dtype=float).reshape(len(rows), len(model.names))
+
+
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds p_<category> and is_<category> for each category of a chain."""
     added = {f"p_{n}": T.DoubleType() for n in model.names} | {f"is_{n}": T.BooleanType() for n in model.names}
     fields = without(df.schema.fields, added)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dull: set[bytes] = set()  # words without a property that the model knows
+        dull: set[bytes] = set()
         sharp: dict[bytes, list[str]] = {}
-        levels: dict[str, list[tuple[int, int]]] = {}
-        for name, place in model.features.items():
-            levels.setdefault(name.rsplit("@", 1)[0], []).append((int(name.rsplit("@", 1)[1]), place))
         for batch, texts in slices(batches, text):
-            rows = []
-            for t in texts:
-                counts: Counter = Counter()
-                for w in set(t.split()).difference(dull) if t else ():
-                    if (known := sharp.get(w)) is None:
-                        known = [f for f in word_features(w) if f in levels]
-                        if not known:
-                            if len(dull) > 500_000:
-                                dull.clear()
-                            dull.add(w)
-                            continue
-                        if len(sharp) > 100_000:
-                            sharp.clear()
-                        sharp[w] = known
-                    counts.update(known)
-                rows.append(model.probabilities(sorted(place for f, n in counts.items() for k, place in levels[f] if k <= n)))
-            p = np.array(rows, dtype=float).reshape(len(rows), len(model.names))
+            p = probabilities_of(texts, model, dull, sharp)
             columns = [*(pa.array(p[:, k]) for k in range(p.shape[1])), *(pa.array(p[:, k] >= model.threshold[k]) for k in range(p.shape[1]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])
 
     return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t) for n, t in added.items())]))
+
+
+def rejected(df: DataFrame, model: Model, category: str, text: str = "text") -> DataFrame:
+    """The rows that the chain does not put into a category, as they are."""
+    k = model.names.index(category)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dull: set[bytes] = set()
+        sharp: dict[bytes, list[str]] = {}
+        for batch, texts in slices(batches, text):
+            yield batch.filter(pa.array(probabilities_of(texts, model, dull, sharp)[:, k] < model.threshold[k]))
+
+    return df.mapInArrow(run, df.schema)

@@ -211,6 +211,15 @@ def test_fingerprints_estimate_generalised_jaccard():
     assert abs(np.mean(error)) < 0.03 and np.std(error) < 0.09
 
 
+def test_fingerprints_of_very_long_texts(monkeypatch, spark):
+    texts = [" ".join(f"w{i % 700} x{i}" for i in range(n)).encode() for n in (0, 3, 400, 2000)]
+    want = fingerprint.fingerprints(texts)
+    monkeypatch.setattr(fingerprint, "MANY", 37)
+    assert (fingerprint.fingerprints(texts) == want).all()
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string").withColumn("FINGERPRINT", F.lit(1))
+    assert fingerprint.fingerprint(df).columns == ["doc_id", "text", "fingerprint"]
+
+
 def test_edited_texts_and_order(spark):
     docs = [(i * 5, t) for i, (_, t) in enumerate(corpus(6, 30))] + [(2000, "é" * 7), (-4, "first one")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).withColumn("key", F.lit("clash"))

@@ -36,7 +36,9 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_each_stage_calls_its_operator(monkeypatch):
     called = []
-    for module, name in ((toxicity, "train"), (ngram_join, "component_filter"), (substring, "dedup"), (packing, "pack")):
+    monkeypatch.setattr(toxicity, "train", lambda *a, **k: None)
+    monkeypatch.setattr(corpus_pipeline, "plain", lambda docs: docs)
+    for module, name in ((toxicity, "rejected"), (ngram_join, "component_filter"), (substring, "dedup"), (packing, "pack")):
         def stop(*a, _n=name, **k):
             called.append(_n)
             raise StopIteration
@@ -55,4 +57,24 @@ def test_each_stage_calls_its_operator(monkeypatch):
     for _, stage in corpus_pipeline.STAGES:
         with pytest.raises(StopIteration):
             stage(Anything(), Anything(), "")
-    assert called == ["train", "component_filter", "dedup", "pack"]
+    assert called == ["rejected", "component_filter", "dedup", "pack"]
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and ids, very long texts, and further columns with clashing names."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    data = [(1, one, "en", "s", 9), (1, one, "en", "s", 9), (2, one, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (None, two, "en", "s", 5), (None, None, None, None, None), (5, two, "en", "s", 5), (6, long, "en", "s", 1), (7, long, "en", "s", 1), (8, "x " + two, "en", "s", 7), (9, "short", "en", "s", 5)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.selectExpr("*", "1 as kept", "2 as is_toxic", "3 as Text", "4 as class", "5 as n_tokens", "6 as _key")
+    want = {"toxicity": len(data), "near_copies": 8, "repeated_passages": len(data), "packing": len(data)}
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, extra):
+            out = stage(spark, df, FOLDER)
+            got = out.collect()
+            assert len(got) == want[name], (name, sorted((r.doc_id or -1, (r.text or "")[:9]) for r in got))
+            assert name == "packing" or out.columns == corpus_pipeline.COLUMNS and out.schema == docs.schema
+            if name == "repeated_passages":
+                texts = sorted(((r.doc_id or 0, (r.text or "")[:3]) for r in got))
+                assert texts == sorted([(1, "a0 "), (1, "a0 "), (2, ""), (3, ""), (4, ""), (0, "b0 "), (0, ""), (5, "b0 "), (6, "w0 "), (7, ""), (8, "x"), (9, "sho")])
+        assert stage(spark, extra.limit(0), FOLDER).count() == 0

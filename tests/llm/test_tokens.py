@@ -70,6 +70,7 @@ def test_columns_nulls_and_empty_tables(spark):
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     assert [(r.doc_id, len(r.ids), r.decoded) for r in out.collect()] == [(1, 2, "hello</w> world</w>"), (2, 0, ""), (2, 0, "")]
     assert bpe.encode(df.limit(0), PATH).count() == 0
+    assert bpe.decode(bpe.encode(df.withColumnsRenamed({"ids": "Ids"}).withColumn("DECODED", F.lit(1)), PATH), PATH).columns == ["doc_id", "text", "ids", "decoded"]
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
@@ -95,11 +96,13 @@ def test_random_access(tmp_path, bits):
 def test_token_files_round_trip(spark, library):
     texts = fuzz(200, 6)
     data = [(i * 7, t) for i, t in enumerate(texts)] + [(None, "null id"), (3, None)]
+    data += [(14, "tie one"), (14, "tie two words")]
     random.Random(1).shuffle(data)
+    order = lambda x: (x[0] is not None, x[0] or 0, len(library.encode(x[1] or "", add_special_tokens=False).ids))
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
     got = tokenfile.read(spark, tokenfile.write(spark, df, PATH, 1, tokenfile.folder(spark))).collect()
     start = 0
-    for r, (k, t) in zip(sorted(got, key=lambda r: r.start), sorted(data, key=lambda x: (x[0] is not None, x[0])), strict=True):
+    for r, (k, t) in zip(sorted(got, key=lambda r: r.start), sorted(data, key=order), strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         assert (r.key, r.start, r.n_tokens, r.ids) == (k, start, len(ids), ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
