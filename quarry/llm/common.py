@@ -63,6 +63,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
             start = stop
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that Arrow holds for later goes back once they are through, as workers outlive their tasks."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def free(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores in front until none is a column's."""
     taken, out = {c.lower() for c in columns}, []

@@ -51,7 +51,7 @@ extra columns are kept by ``component_filter``; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,9 +60,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.blocks import park, read_block
-from quarry.llm.common import MOST_RANGES, free, mix, partitions, shared_dir, size_of, slices, stored
+from quarry.llm.common import MOST_RANGES, free, mix, partitions, released, shared_dir, size_of, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, shingles, squeeze, squeeze_sorted
 
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 SHINGLE = 5
 #: Least similarity, as a share of 100.
 PERCENT = 80
@@ -214,7 +216,7 @@ class Sets:
             if held:
                 yield from answers()
 
-        dealt = blocks.repartitionById(self.n, F.pmod("block", F.lit(self.n)).cast("int")).mapInArrow(spread, ROW)
+        dealt = blocks.repartitionById(self.n, F.pmod("block", F.lit(self.n)).cast("int")).mapInArrow(lambda batches: released(spread(batches)), ROW)
         ranged = dealt.repartitionById(ranges, F.pmod("to", F.lit(ranges)).cast("int"))
         if pieces > 1:
             ranged = ranged.mapInArrow(recut, ROW).sortWithinPartitions("at")
@@ -226,8 +228,8 @@ class Sets:
         self.members = listed.select("key", "n_shingles", name.alias("class"), "check", "block")
         self.shared = shared
 
-    def tokens(self) -> DataFrame:
-        """Tokens that occur again, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token)."""
+    def tokens(self, then: Mapper | None = None, schema: str = "class long, n long, tokens binary, counts binary") -> DataFrame:
+        """Tokens that occur again, a row for each class: class, n (size of its set), tokens, counts (arrays as bytes, by count and token); or what is made of these rows in the same task."""
         folder, k, least, shared = self.folder, self.k, self.least, self.shared
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,7 @@ class Sets:
         owned = owner.repartition(self.n, "block").sortWithinPartitions("block").select("block", "class").mapInArrow(_owned, ROW)
         rows = self.told.where(f"kind = {ANSWERS}").unionAll(owned)
         dealt = rows.repartitionById(self.n, F.pmod("to", F.lit(self.n)).cast("int")).sortWithinPartitions("to", "at", "kind")
-        return dealt.mapInArrow(run, "class long, n long, tokens binary, counts binary")
+        return dealt.mapInArrow((lambda batches: then(released(run(batches)))) if then else run, schema)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,22 +360,32 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(there).view(np.int64)
 
 
-def candidates(pieces: DataFrame, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
-    """Classes that may be similar to others: class, n, weight, tokens (shared ones, ascending), bits (their bitmap), signatures."""
+CANDIDATES = "class long, n long, weight double, tokens binary, bits array<long>, signatures array<struct<sig:long,left:int>>"
+
+
+def candidates(percent: int = PERCENT, frequent: int = FREQUENT) -> Mapper:
+    """Of classes with their tokens, those that may be similar to others: class, n, weight, tokens (shared ones, ascending), bits (their bitmap), signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            sigs: list[np.ndarray] = []
+            lefts: list[np.ndarray] = []
             for name, n, shared, each in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens, counts = np.frombuffer(shared, dtype=U64), np.frombuffer(each, dtype=np.int64)
                 found, left = signatures(n, tokens, counts, percent, frequent)
                 if len(found):
-                    pairs = [{"sig": x, "left": y} for x, y in zip(found.view(np.int64).tolist(), left.tolist(), strict=True)]
-                    rows.append({"class": name, "n": n, "weight": float(np.log2(counts).sum()), "tokens": np.sort(tokens).tobytes(), "bits": bitmap(tokens).tolist(), "signatures": pairs})
+                    rows.append((name, n, float(np.log2(counts).sum()), np.sort(tokens).tobytes(), bitmap(tokens)))
+                    sigs.append(found.view(np.int64)), lefts.append(left.astype(np.int32))
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64()), ("tokens", pa.binary()), ("bits", pa.list_(pa.int64())), ("signatures", pa.list_(pa.struct([("sig", pa.int64()), ("left", pa.int32())])))]))
+                names, sizes, weights, tokens_of, bits = zip(*rows, strict=True)
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(lefts))], names=["sig", "left"])
+                ends = pa.array(np.cumsum([0, *map(len, sigs)]), type=pa.int32())
+                words = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * (BITS // 64), type=pa.int32()), pa.array(np.concatenate(bits)))
+                columns = [pa.array(names, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(weights), pa.array(tokens_of, type=pa.binary()), words, pa.ListArray.from_arrays(ends, pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "weight", "tokens", "bits", "signatures"])
 
-    return pieces.mapInArrow(run, "class long, n long, weight double, tokens binary, bits array<long>, signatures array<struct<sig:long,left:int>>")
+    return run
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -426,7 +438,7 @@ def by_signature(rows: DataFrame, *found: Column) -> tuple[DataFrame, DataFrame]
 def links(spark: SparkSession, all_sets: Sets, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """Links (a, b, shared) between similar classes, enough of them to join their components."""
     folder = all_sets.folder
-    found = stored(spark, candidates(all_sets.tokens(), percent, frequent), f"{folder}/candidates")
+    found = stored(spark, all_sets.tokens(candidates(percent, frequent), CANDIDATES), f"{folder}/candidates")
     sets = found.select("class", "n", "tokens")
     rows = found.select(F.explode("signatures").alias("s"), "class", "n", "weight", (F.octet_length("tokens") / 8).cast("int").alias("own")).select("s.sig", "s.left", "class", "n", "weight", "own")
     pair = (F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.blocks import park, read_block
-from quarry.llm.common import MOST_RANGES, free, open_fs, partitions, range_bounds, shared_dir, size_of, slices, stored, without
+from quarry.llm.common import MOST_RANGES, free, open_fs, partitions, range_bounds, released, shared_dir, size_of, slices, stored, without
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, squeeze, squeeze_sorted, windows
 
 WINDOW = 13
@@ -332,8 +332,9 @@ class WindowIndex:
         blocks = park(spark, docs.select(*(f.name for f in fields), F.col(key).cast("long").alias(name_of_key)), folder, name_of_key, text)
         none = F.lit(b"").cast("binary")
         parked = blocks.select(F.lit(BLOCK).alias("kind"), F.col("block").alias("to"), *(none.alias(c) for c in "abcd"))
+        of_block = self._windows(name_of_key, text)
         dealt = lambda df, m, to: df.repartitionById(m, F.pmod(to, F.lit(m)).cast("int"))
-        spread = dealt(dealt(parked, n, F.col("to")).mapInArrow(self._windows(name_of_key, text), ROW), parts, F.col("to"))
+        spread = dealt(dealt(parked, n, F.col("to")).mapInArrow(lambda batches: released(of_block(batches)), ROW), parts, F.col("to"))
         if pieces > 1:
             spread = spread.mapInArrow(recut(parts, pieces), f"{ROW}, piece int").sortWithinPartitions("piece")
         else:

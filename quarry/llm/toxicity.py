@@ -53,7 +53,9 @@ LEAST_TEXTS = 3
 FOLDS = 5
 SEED = 20_011
 #: Features that a task counts before it sends its counts on.
-HELD = 200_000
+HELD = 100_000
+#: Words of either kind that scoring remembers.
+REMEMBERED = 100_000
 PENALTY, TOLERANCE, MOST_STEPS = 1e-2, 1e-6, 1000
 #: Different words that a feature of first letters may ask for.
 DEPTH = 3
@@ -285,11 +287,11 @@ def probabilities_of(texts: Iterable[bytes | None], model: Model, dull: set[byte
             if (known := sharp.get(w)) is None:
                 known = [f for f in word_features(w) if f in levels]
                 if not known:
-                    if len(dull) > 500_000:
+                    if len(dull) > REMEMBERED:
                         dull.clear()
                     dull.add(w)
                     continue
-                if len(sharp) > 100_000:
+                if len(sharp) > REMEMBERED:
                     sharp.clear()
                 sharp[w] = known
             counts.update(known)
