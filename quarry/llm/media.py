@@ -6,7 +6,7 @@
 * A task appends chunks that are new to it to *packs*: files of compressed
   chunks in the shared folder.  An aggregation then picks one place for each
   chunk digest over all packs; the other copies are dead, and ``compact``
-  rewrites the packs without them and deletes the old ones.
+  rewrites the packs that have many of them and deletes the old ones.
 * A medium is an ordered list of chunk digests.  Media that were written one
   after another are read by one task: it asks once for each digest of all of
   them (so that a chunk in most media is no hot key), a Spark join gives the
@@ -52,6 +52,8 @@ PACK_BYTES = 8 << 20
 READ_ROWS, READ_BYTES = 1024, 8 << 20
 #: Places at most so far apart are fetched in one read.
 GAP = 64 << 10
+#: A pack is worth rewriting if this share of it is dead copies.
+DEAD = 0.1
 MAGIC = b"QMEDIA01"
 SEED = 20_011
 _GEAR = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -249,8 +251,8 @@ def read(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str,
     return ordered.mapInArrow(run, "key long, n_bytes long, media_sha256 string, media_bytes long, " + shown)
 
 
-def compact(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str) -> DataFrame:
-    """Rewrites the packs with live chunks only and deletes the old ones; the new places, which alone are valid from then on."""
+def compact(spark: SparkSession, media: DataFrame, places: DataFrame, folder: str, dead: float = DEAD) -> DataFrame:
+    """Rewrites the packs of which at least such a share is dead copies, with live chunks only, and deletes the old ones; the new places, which alone are valid from then on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
@@ -274,10 +276,13 @@ def compact(spark: SparkSession, media: DataFrame, places: DataFrame, folder: st
                     fs.delete_file(f"{base}/{old}.pack")
             yield batch
 
-    live = places.groupBy("pack").agg(F.collect_list(F.struct("digest", "at", "size")).alias("refs"))
-    out = stored(spark, live.mapInArrow(run, "digest binary, pack string, at long, size int"), f"{folder}/places-{uuid.uuid4().hex}")
-    packs = media.select(F.explode("chunks").alias("c")).select("c.pack").distinct()
-    packs.mapInArrow(delete, "pack string").count()
+    size = media.select(F.explode("chunks").alias("c")).groupBy(F.col("c.pack").alias("pack")).agg(F.max(F.col("c.at") + F.col("c.size")).alias("whole"))
+    live = places.groupBy("pack").agg(F.sum("size").alias("live"), F.collect_list(F.struct("digest", "at", "size")).alias("refs"))
+    wasted = F.col("whole") - F.coalesce("live", F.lit(0))
+    chosen = stored(spark, size.join(live, "pack", "left").where((wasted > 0) & (wasted >= dead * F.col("whole"))).select("pack", "refs"), f"{folder}/chosen-{uuid.uuid4().hex}")
+    moved = chosen.where("refs is not null").mapInArrow(run, "digest binary, pack string, at long, size int")
+    out = stored(spark, places.join(chosen.select("pack"), "pack", "left_anti").select("digest", "pack", "at", "size").unionAll(moved), f"{folder}/places-{uuid.uuid4().hex}")
+    chosen.select("pack").mapInArrow(delete, "pack string").count()
     return out
 
 

@@ -102,7 +102,7 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts as media of shared chunks, each stored once, read back, verified and described."""
+    """All texts as media of shared chunks, compacted, read back, verified and described."""
     folder = media.folder(spark)
     rows, places = media.write(spark, documents(spark, sf_dir, "doc_id", "text"), folder)
     places = media.compact(spark, rows, places, folder)
