@@ -75,8 +75,7 @@ def nearest_stats(stats: dict[int, Stats], vec: str = "vec") -> Column:
     """A struct (d, c) of the nearest cluster by Mahalanobis distance; null without clusters."""
     if not stats:
         return F.lit(None).cast("struct<d:double,c:int>")
-    numbers = lambda v: F.array(*map(F.lit, map(float, v)))
-    table = F.array(*(F.struct(F.lit(c).alias("c"), numbers(s.mean()).alias("m"), numbers(s.variance()).alias("v")) for c, s in sorted(stats.items())))
+    table = km.constant([{"c": c, "m": s.mean(), "v": s.variance()} for c, s in sorted(stats.items())], "c:int,m:array<double>,v:array<double>")
     return F.array_min(F.transform(table, lambda x: F.struct(mahalanobis(F.col(vec), x["m"], x["v"]).alias("d"), x["c"].alias("c"))))
 
 

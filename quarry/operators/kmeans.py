@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,13 @@ def vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
 
 
+def constant(rows: list[dict], schema: str) -> Column:
+    """An array of structs that is folded to one constant: the plan and its generated code are the same whatever the numbers, so each round's code is the last one's."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
 def _constant(centres: Centres) -> Column:
-    return F.array(*(F.struct(F.lit(c).alias("c"), F.array(*map(F.lit, map(float, v))).alias("v")) for c, v in sorted(centres.items())))
+    return constant([{"c": c, "v": [*map(float, v)]} for c, v in sorted(centres.items())], "c:int,v:array<double>")
 
 
 def nearest(centres: Centres, vec: str = "vec") -> Column:
