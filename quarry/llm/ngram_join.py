@@ -402,11 +402,17 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, shared long, similar boolean")
 
 
+def beside(rows: DataFrame, table: DataFrame, on: str, other: str) -> DataFrame:
+    """Rows with what a table of one row a node says of one end. A node's rows are dealt in ``SALTS`` parts by their other end, so that a hub's links are no task's alone."""
+    parts = table.withColumn("part", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("part", F.pmod(F.hash(other), F.lit(SALTS))).join(parts, [on, "part"]).drop("part")
+
+
 def labels(edges: DataFrame) -> DataFrame:
     """node, root: the least node within two links. Equal roots mean one component, different ones mean nothing."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     one = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    two = both.join(one.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
+    two = beside(both, one.select(F.col("a").alias("b"), "m"), "b", "a").groupBy("a").agg(F.min("m").alias("m"))
     return two.select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
 
 
@@ -418,9 +424,9 @@ def components(spark: SparkSession, edges: DataFrame, folder: str) -> DataFrame:
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = beside(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        small = beside(large, low, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = stored(spark, small, f"{folder}/{step}")
         step += 1
         got = now.agg(mark).first()
