@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import open_fs, slices, stored
+from quarry.llm.common import open_fs, releasing, slices, stored
 
 #: Bytes of text in a block, if it is not one long text.
 BLOCK_BYTES = 8 << 20
@@ -47,7 +47,7 @@ def park(spark: SparkSession, docs: DataFrame, folder: str, key: str, text: str)
         if held:
             yield flush()
 
-    return stored(spark, docs.mapInArrow(run, "block long"), f"{folder}/blocks-{uuid.uuid4().hex}")
+    return stored(spark, docs.mapInArrow(releasing(run), "block long"), f"{folder}/blocks-{uuid.uuid4().hex}")
 
 
 def read_block(folder: str, name: int) -> pa.Table:

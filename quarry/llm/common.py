@@ -7,7 +7,8 @@ named by ``spark.checkpoint.dir``.  Partition counts follow
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,9 +65,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20)
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; memory that Arrow holds for later goes back once they are through, as workers outlive their tasks."""
+    """The batches; memory that Arrow and the C library hold for later goes back once they are through, as workers outlive their tasks."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step whose worker gives its memory back at the end of a task."""
+    return lambda batches: released(run(batches))
 
 
 def free(columns: list[str], *names: str) -> list[str]:

@@ -60,7 +60,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.blocks import park, read_block
-from quarry.llm.common import MOST_RANGES, free, mix, partitions, released, shared_dir, size_of, slices, stored
+from quarry.llm.common import MOST_RANGES, free, mix, partitions, released, releasing, shared_dir, size_of, slices, stored
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, shingles, squeeze, squeeze_sorted
 
 Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -216,11 +216,11 @@ class Sets:
             if held:
                 yield from answers()
 
-        dealt = blocks.repartitionById(self.n, F.pmod("block", F.lit(self.n)).cast("int")).mapInArrow(lambda batches: released(spread(batches)), ROW)
+        dealt = blocks.repartitionById(self.n, F.pmod("block", F.lit(self.n)).cast("int")).mapInArrow(releasing(spread), ROW)
         ranged = dealt.repartitionById(ranges, F.pmod("to", F.lit(ranges)).cast("int"))
         if pieces > 1:
-            ranged = ranged.mapInArrow(recut, ROW).sortWithinPartitions("at")
-        self.told = stored(spark, ranged.mapInArrow(count, ROW), f"{folder}/told")
+            ranged = ranged.mapInArrow(releasing(recut), ROW).sortWithinPartitions("at")
+        self.told = stored(spark, ranged.mapInArrow(releasing(count), ROW), f"{folder}/told")
         listed = stored(spark, self.told.where(f"kind = {MEMBERS}").mapInArrow(_listed, "key long, n_shingles long, class long, check long, block long"), f"{folder}/members")
         shared = shared_names(listed)
         name = F.when(F.col("class").isin(list(shared)), F.col("check")).otherwise(F.col("class")) if shared else F.col("class")
@@ -268,7 +268,7 @@ class Sets:
         owned = owner.repartition(self.n, "block").sortWithinPartitions("block").select("block", "class").mapInArrow(_owned, ROW)
         rows = self.told.where(f"kind = {ANSWERS}").unionAll(owned)
         dealt = rows.repartitionById(self.n, F.pmod("to", F.lit(self.n)).cast("int")).sortWithinPartitions("to", "at", "kind")
-        return dealt.mapInArrow((lambda batches: then(released(run(batches)))) if then else run, schema)
+        return dealt.mapInArrow(releasing((lambda batches: then(released(run(batches)))) if then else run), schema)
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +399,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, type=pa.int64()), pa.array(similar, type=pa.bool_())], names=["a", "b", "shared", "similar"])
 
     one, two = (sets.select(F.col("class").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}")) for s in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long, shared long, similar boolean")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(releasing(run), "a long, b long, shared long, similar boolean")
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -495,7 +495,7 @@ def _with_check(docs: DataFrame, text: str, name: str) -> DataFrame:
             classes = pa.array([check_of(s) if len(s) else None for s in _sets(texts, SHINGLE)], type=pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, classes], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(releasing(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def component_filter(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.blocks import park, read_block
-from quarry.llm.common import MOST_RANGES, free, open_fs, partitions, range_bounds, released, shared_dir, size_of, slices, stored, without
+from quarry.llm.common import MOST_RANGES, free, open_fs, partitions, range_bounds, releasing, shared_dir, size_of, slices, stored, without
 from quarry.llm.windows import U64, expand, expand_sorted, part_cuts, squeeze, squeeze_sorted, windows
 
 WINDOW = 13
@@ -58,6 +58,8 @@ WINDOW = 13
 PIECE_BYTES = 16 << 20
 #: Runs of a range that are compacted to one.
 TIER = 2
+#: Windows that are looked up in a run at a time.
+MERGED = 1 << 16
 SIGN = U64(1 << 63)
 ADDED = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept": T.StringType(), "removed": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))}
 #: Rows between the steps: kind (0 block, 1 windows, 2 local hits, 3 hits, 4 run, 5 words), the block or range that it belongs to, and what it holds.
@@ -125,7 +127,7 @@ class Block:
 
     def count(self) -> None:
         """The first window of each document."""
-        words = np.array([len((t or b"").split()) for t in self.texts.to_pylist()], dtype=np.int64)
+        words = np.array([len((t.as_py() or b"").split()) for t in self.texts], dtype=np.int64)
         self.place(np.maximum(words - self.k + 1, 0) * self.known)
 
     def place(self, per: np.ndarray) -> None:
@@ -159,32 +161,49 @@ class Block:
 
 
 class Run:
-    """A sorted piece of windows: hash, and the document (its id, block and first window) and place of the least one that has it."""
+    """A sorted piece of windows: hash, and the document (its id, block and first window) and place (both in 32 bits) of the least one that has it."""
 
     def __init__(self, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, keys: np.ndarray, blocks: np.ndarray, bases: np.ndarray) -> None:
         self.hashes, self.docs, self.places, self.keys, self.blocks, self.bases = hashes, docs, places, keys, blocks, bases
 
     @staticmethod
     def joined(runs: list[Run]) -> Run:
+        """All windows in one run; the list is emptied on the way, so that the windows are held once."""
         if not runs:
             none = np.zeros(0, dtype=np.int64)
-            return Run(none.view(U64), none, none, none, none, none)
-        shift = np.cumsum([0, *(len(r.keys) for r in runs[:-1])])
-        columns = [np.concatenate(x) for x in zip(*((r.hashes, r.docs + s, r.places, r.keys, r.blocks, r.bases) for r, s in zip(runs, shift, strict=True)), strict=True)]
-        out = Run(*columns)
-        rank = np.empty(len(out.keys), dtype=np.int64)
-        rank[np.lexsort((out.bases, out.blocks, out.keys))] = np.arange(len(out.keys))
-        order = np.lexsort((out.places, rank[out.docs], out.hashes))
-        out.hashes, out.docs, out.places = out.hashes[order], out.docs[order], out.places[order]
-        return out
+            return Run(none.view(U64), none.astype(np.uint32), none.astype(np.uint32), none, none, none)
+        shift = np.cumsum([0, *(len(r.keys) for r in runs)])
+        keys, blocks, bases = (np.concatenate(x) for x in zip(*((r.keys, r.blocks, r.bases) for r in runs), strict=True))
+        rank = np.empty(len(keys), dtype=np.uint32)
+        rank[np.lexsort((bases, blocks, keys))] = np.arange(len(keys), dtype=np.uint32)
+        n = sum(len(r.hashes) for r in runs)
+        hashes, docs, places = np.empty(n, dtype=U64), np.empty(n, dtype=np.uint32), np.empty(n, dtype=np.uint32)
+        while runs:
+            r = runs.pop()
+            at = slice(n - len(r.hashes), n)
+            hashes[at], places[at] = r.hashes, r.places
+            np.add(r.docs, np.uint32(shift[len(runs)]), out=docs[at])
+            n = at.start
+        order = np.lexsort((places, rank[docs], hashes)).astype(np.uint32 if len(hashes) < 1 << 32 else np.int64)
+        hashes = hashes[order]
+        docs = docs[order]
+        places = places[order]
+        return Run(hashes, docs, places, keys, blocks, bases)
+
+    def at(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks and windows of some rows."""
+        docs = self.docs[rows]
+        return self.blocks[docs], self.bases[docs] + self.places[rows]
 
     def least(self) -> Run:
         first = starts_of(self.hashes)
         return Run(self.hashes[first], self.docs[first], self.places[first], self.keys, self.blocks, self.bases)
 
     def dump(self) -> bytes:
-        used, docs = np.unique(self.docs, return_inverse=True)
-        parts = [squeeze_sorted(self.hashes), squeeze(docs.astype(np.uint32)), squeeze(self.places.astype(np.uint32)), squeeze(self.keys[used]), squeeze(self.blocks[used]), squeeze(self.bases[used])]
+        named = np.zeros(len(self.keys), dtype=bool)
+        named[self.docs] = True
+        used, number = np.flatnonzero(named), np.cumsum(named, dtype=np.uint32) - np.uint32(1)
+        parts = [squeeze_sorted(self.hashes), squeeze(number[self.docs]), squeeze(self.places), squeeze(self.keys[used]), squeeze(self.blocks[used]), squeeze(self.bases[used])]
         return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
     @staticmethod
@@ -194,7 +213,7 @@ class Run:
             size = int.from_bytes(data[at : at + 8], "little")
             parts.append(data[at + 8 : at + 8 + size])
             at += 8 + size
-        return Run(expand_sorted(parts[0]), expand(parts[1], np.uint32).astype(np.int64), expand(parts[2], np.uint32).astype(np.int64), *(expand(p, np.int64) for p in parts[3:]))
+        return Run(expand_sorted(parts[0]), expand(parts[1], np.uint32), expand(parts[2], np.uint32), *(expand(p, np.int64) for p in parts[3:]))
 
 
 class RunWriter:
@@ -246,30 +265,35 @@ def sent(hashes: np.ndarray, at: np.ndarray, block: Block) -> tuple[bytes, bytes
 def received(name: int, a: bytes, b: bytes, c: bytes, d: bytes) -> Run:
     size = int.from_bytes(d[:8], "little")
     bases, keys = expand_sorted(d[8 : 8 + size]).view(np.int64), (expand_sorted(d[16 + size :]) ^ SIGN).view(np.int64)
-    return Run(expand_sorted(a), expand(b, np.uint32).astype(np.int64), expand(c, np.uint32).astype(np.int64), keys, np.full(len(keys), name), bases)
+    return Run(expand_sorted(a), expand(b, np.uint32), expand(c, np.uint32), keys, np.full(len(keys), name), bases)
 
 
 def sources(new: Run, history: list[Run]) -> tuple[np.ndarray, ...]:
     """Hits of a sorted run: source block and window, hit block and window; the source is the next smaller document, or else one of the history."""
-    if not len(new.hashes):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
-    keys = new.keys[new.docs]
-    first = starts_of(new.hashes, keys)
-    run = np.repeat(first - 1, np.diff(np.append(first, len(keys))))  # the row before a document's rows of a hash
-    near = (run >= 0) & (new.hashes[np.maximum(run, 0)] == new.hashes)
-    at = new.bases[new.docs] + new.places
-    block, place = np.where(near, new.blocks[new.docs[run]], 0), np.where(near, at[run], 0)
-    found = near
+    first = starts_of(new.hashes)
+    times = np.diff(np.append(first, len(new.hashes)))
+    again = np.repeat(first[times > 1], times[times > 1])  # of the rows of a hash that has several, the first one
+    rows = np.flatnonzero(np.repeat(times > 1, times))
+    keys = new.keys[new.docs[rows]]
+    own = starts_of(again, keys)
+    before = np.repeat(rows[own] - 1, np.diff(np.append(own, len(rows))))  # the row before a document's rows of a hash
+    near = before >= again
+    hits, (block, place) = [rows[near]], ([x] for x in new.at(before[near]))
+    found = np.zeros(len(new.hashes), dtype=bool)
+    found[hits[0]] = True
     for old in history:  # sorted runs, merged one after another
         if not len(old.hashes):
             continue
-        j = np.minimum(np.searchsorted(old.hashes, new.hashes), len(old.hashes) - 1)
-        more = ~found & (old.hashes[j] == new.hashes) & (old.keys[old.docs[j]] < keys)
-        doc = old.docs[j[more]]
-        block[more], place[more] = old.blocks[doc], old.bases[doc] + old.places[j[more]]
-        found = found | more
-    return block[found], place[found], new.blocks[new.docs[found]], at[found]
+        for start in range(0, len(found), MERGED):
+            some = new.hashes[start : start + MERGED]
+            j = np.minimum(np.searchsorted(old.hashes, some), len(old.hashes) - 1)
+            more = np.flatnonzero(~found[start : start + MERGED] & (old.hashes[j] == some))
+            more = more[old.keys[old.docs[j[more]]] < new.keys[new.docs[start + more]]]
+            found[start + more] = True
+            hits.append(start + more)
+            for out, x in zip((block, place), old.at(j[more]), strict=True):
+                out.append(x)
+    return np.concatenate(block), np.concatenate(place), *new.at(np.concatenate(hits))
 
 
 def by_source(source: np.ndarray, place: np.ndarray, hit: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -302,11 +326,10 @@ class WindowIndex:
                 order = np.argsort(hashes, kind="stable")  # documents are in order of their ids
                 hashes = hashes[order]
                 first = starts_of(hashes)
-                times = np.diff(np.append(first, len(hashes)))
-                lead = np.repeat(order[first], times)
                 other = np.ones(len(order), dtype=bool)
                 other[first] = False
-                at, source = order[other], lead[other]
+                other = np.flatnonzero(other)
+                at, source = order[other], order[first[np.searchsorted(first, other, side="right") - 1]]
                 by = np.argsort(at)
                 at, source = at[by], source[by]
                 equal = block.same(at, source)
@@ -314,7 +337,9 @@ class WindowIndex:
                 more = block.keys[block.doc_of(at)] > block.keys[block.doc_of(source)]
                 begin, lengths = spans_of(at[more])
                 yield row(LOCAL, name, squeeze(at[more][begin]), squeeze(lengths), squeeze(at[~more]), squeeze(source[~more]))
-                hashes, order = hashes[first], order[first]
+                hashes = hashes[first]
+                order = order[first]
+                del first, other, by, equal, at, source, more, begin, lengths
                 ends = np.append(np.searchsorted(hashes, cuts), len(hashes))
                 for p in np.flatnonzero(np.diff(ends)).tolist():
                     a, b = ends[p], ends[p + 1]
@@ -334,9 +359,9 @@ class WindowIndex:
         parked = blocks.select(F.lit(BLOCK).alias("kind"), F.col("block").alias("to"), *(none.alias(c) for c in "abcd"))
         of_block = self._windows(name_of_key, text)
         dealt = lambda df, m, to: df.repartitionById(m, F.pmod(to, F.lit(m)).cast("int"))
-        spread = dealt(dealt(parked, n, F.col("to")).mapInArrow(lambda batches: released(of_block(batches)), ROW), parts, F.col("to"))
+        spread = dealt(dealt(parked, n, F.col("to")).mapInArrow(releasing(of_block), ROW), parts, F.col("to"))
         if pieces > 1:
-            spread = spread.mapInArrow(recut(parts, pieces), f"{ROW}, piece int").sortWithinPartitions("piece")
+            spread = spread.mapInArrow(releasing(recut(parts, pieces)), f"{ROW}, piece int").sortWithinPartitions("piece")
         else:
             spread = spread.withColumn("piece", F.lit(0))
         history = list(self.runs)
@@ -349,10 +374,10 @@ class WindowIndex:
 
             def done() -> Iterator[pa.RecordBatch]:
                 new = Run.joined(held)
-                held.clear()
                 yield from by_source(*sources(new, [f.get(now) for f in files]))
                 if out is not None:
-                    out.put(now, new.least())
+                    new = new.least()
+                    out.put(now, new)
 
             for batch in batches:
                 for (kind, to, a, b, c, d), at in zip(rows_of([batch]), batch.column(6).to_pylist(), strict=True):
@@ -374,14 +399,14 @@ class WindowIndex:
             if out is not None:
                 yield row(RUN, part, out.close().encode())
 
-        merged = spread.mapInArrow(merge, ROW)
-        answered = stored(spark, dealt(merged, n, F.col("to")).sortWithinPartitions("to").mapInArrow(answers(folder, name_of_key, text, k), ROW), f"{folder}/found-{uuid.uuid4().hex}")
+        merged = spread.mapInArrow(releasing(merge), ROW)
+        answered = stored(spark, dealt(merged, n, F.col("to")).sortWithinPartitions("to").mapInArrow(releasing(answers(folder, name_of_key, text, k)), ROW), f"{folder}/found-{uuid.uuid4().hex}")
         if keep:
             self.runs.append({r["to"]: bytes(r["a"]).decode() for r in answered.where(f"kind = {RUN}").select("to", "a").collect()})  # one for each range
             if len(self.runs) >= TIER:
                 self.compact()
         rows = parked.unionAll(answered.where(f"kind <> {RUN}"))
-        return dealt(rows, n, F.col("to")).sortWithinPartitions("to", "kind").mapInArrow(finish(folder, name_of_key, text, k, [f.name for f in fields]), T.StructType([*fields, *(T.StructField(c, t) for c, t in ADDED.items())]))
+        return dealt(rows, n, F.col("to")).sortWithinPartitions("to", "kind").mapInArrow(releasing(finish(folder, name_of_key, text, k, [f.name for f in fields])), T.StructType([*fields, *(T.StructField(c, t) for c, t in ADDED.items())]))
 
     def compact(self) -> None:
         """Merges all runs to one file for each range, with the least document of each window, and deletes the merged ones."""
@@ -397,12 +422,13 @@ class WindowIndex:
                     for p in range(pieces):
                         whole = Run.joined([f.get(p) for f in files])
                         if len(whole.hashes):
-                            out.put(p, whole.least())
+                            whole = whole.least()
+                            out.put(p, whole)
                     for f in files:
                         f.close()
                     yield row(RUN, part, out.close().encode())
 
-        table = stored(spark, spark.range(0, n, 1, n).mapInArrow(merge, ROW), f"{folder}/level-{uuid.uuid4().hex}")
+        table = stored(spark, spark.range(0, n, 1, n).mapInArrow(releasing(merge), ROW), f"{folder}/level-{uuid.uuid4().hex}")
         self.runs = [{r["to"]: bytes(r["a"]).decode() for r in table.select("to", "a").collect()}]  # one for each range
         fs, base = open_fs(folder)
         for name in (x for r in runs for x in r.values()):

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import shared_dir, slices, stored, without
+from quarry.llm.common import releasing, shared_dir, slices, stored, without
 
 SAMPLE = 12_000
 FEATURES = 2048
@@ -181,7 +181,7 @@ def fits_in_tasks(spark: SparkSession) -> Fits:
                     w, b = fit(x, y, uses[i])
                     yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()]), pa.array([b])], names=["i", "w", "b"])
 
-        got = {r["i"]: (np.frombuffer(r["w"]), r["b"]) for r in spark.range(0, len(uses), 1, len(uses)).mapInArrow(run, "i long, w binary, b double").collect()}
+        got = {r["i"]: (np.frombuffer(r["w"]), r["b"]) for r in spark.range(0, len(uses), 1, len(uses)).mapInArrow(releasing(run), "i long, w binary, b double").collect()}
         return [got[i] for i in range(len(uses))]
 
     return fits
@@ -252,7 +252,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
         yield from flush()
 
     total = rows.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
-    counts = rows.mapInArrow(count, "feature string, seen long, " + ", ".join(f"`{n}` long" for n in names)).groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).where(F.col("seen") >= LEAST_TEXTS)
+    counts = rows.mapInArrow(releasing(count), "feature string, seen long, " + ", ".join(f"`{n}` long" for n in names)).groupBy("feature").agg(F.sum("seen").alias("seen"), *(F.sum(n).alias(n) for n in names)).where(F.col("seen") >= LEAST_TEXTS)
     counts = stored(spark, counts, f"{shared_dir(spark, 'toxicity')}/features")
     features: dict[str, int] = {}
     for n in names:
@@ -270,7 +270,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, categories: d
             kept = [batch.column(batch.schema.get_field_index(n)) for n in ("_id", "_text", *names)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, type=pa.list_(pa.int32()))], names=["_id", "_text", *names, "places"])
 
-    got = rows.mapInArrow(place, "_id long, _text string, " + ", ".join(f"`{n}` int" for n in names) + ", places array<int>").collect()  # at most ``sample`` rows
+    got = rows.mapInArrow(releasing(place), "_id long, _text string, " + ", ".join(f"`{n}` int" for n in names) + ", places array<int>").collect()  # at most ``sample`` rows
     got.sort(key=lambda r: (r["_id"], r["_text"]))
     labels_of = np.array([[r[n] for n in names] for r in got], dtype=int).reshape(len(got), len(names))
     folds = np.random.Generator(np.random.PCG64(SEED)).permutation(len(got)) % FOLDS
@@ -312,7 +312,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             columns = [*(pa.array(p[:, k]) for k in range(p.shape[1])), *(pa.array(p[:, k] >= model.threshold[k]) for k in range(p.shape[1]))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *columns], names=[*(f.name for f in fields), *added])
 
-    return df.mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t) for n, t in added.items())]))
+    return df.mapInArrow(releasing(run), T.StructType([*fields, *(T.StructField(n, t) for n, t in added.items())]))
 
 
 def rejected(df: DataFrame, model: Model, category: str, text: str = "text") -> DataFrame:
@@ -325,4 +325,4 @@ def rejected(df: DataFrame, model: Model, category: str, text: str = "text") ->
         for batch, texts in slices(batches, text):
             yield batch.filter(pa.array(probabilities_of(texts, model, dull, sharp)[:, k] < model.threshold[k]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)

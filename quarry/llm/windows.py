@@ -67,7 +67,7 @@ def squeeze(values: np.ndarray) -> bytes:
     """Integers as planes of bytes, compressed: small values cost what they hold."""
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     used = planes[: max((i + 1 for i in range(len(planes)) if planes[i].any()), default=0)]
-    return bytes([len(used), planes.shape[0]]) + len(values).to_bytes(6, "little") + _PACK.compress(used.tobytes())
+    return bytes([len(used), planes.shape[0]]) + len(values).to_bytes(6, "little") + _PACK.compress(used.reshape(-1).data if used.size else b"")
 
 
 def expand(data: bytes, kind: type) -> np.ndarray:
