@@ -18,11 +18,10 @@ def cosine(shared: Column, n1: Column, n2: Column) -> Column:
     return shared / F.sqrt(n1 * n2)
 
 
-def pearson(x: str, y: str) -> Column:
-    """An aggregate: the correlation if it is over 0, otherwise null (also where either side is constant)."""
-    n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)
-    over = n * F.sum(F.col(x) * F.col(y)) - sx * sy
-    spread = (n * F.sum(F.col(x) * F.col(x)) - sx * sx) * (n * F.sum(F.col(y) * F.col(y)) - sy * sy)
+def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
+    """From a number of pairs and their sums: the correlation if it is over 0, otherwise null (also where either side is constant)."""
+    over = n * sxy - sx * sy
+    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
     return F.when((over > TINY) & (spread > TINY), F.try_divide(over, F.sqrt(F.greatest(spread, F.lit(0.0)))))
 
 

@@ -96,7 +96,7 @@ def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar pairs in order, as JSON lines; the order is that of the files and their lines."""
     path = shared_dir(spark, "similar")
-    members = on.reviews(spark, sf_dir).select("item_id", "user_id").distinct()
+    members = on.reviews(spark, sf_dir).select("item_id", "user_id")
     writers.json_lines(minhash.similar(members, "item_id", "user_id").orderBy("b1", "b2").coalesce(1), path)
     return readers.json_lines(spark, path, "b1 long, b2 long, sim double").coalesce(1).withColumn("place", F.monotonically_increasing_id())
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.operators import baskets as bk
 from quarry.operators import bfr, cf, minhash, profiles
 from quarry.operators import kmeans as km
+from quarry.operators import pairs as pr
 
 
 def sets(df):
@@ -187,3 +188,39 @@ def test_bfr_keeps_every_point(spark, tmp_path):
     assert (again.ds, again.cs, again.report, again.retained, again.members, again.fed) == (run.ds, run.cs, run.report, run.retained, run.members, 1)
     assert rows(again.finalise()) == rows(run.finalise())
     assert bfr.BFR.resumed(spark, str(tmp_path / "new"), 2).report == []
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shared_groups_are_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(pr, "TILE", 8)  # groups of 1 to 30 members: up to four sides
+    monkeypatch.setattr(pr, "HELD", 50)
+    monkeypatch.setattr(pr, "PART", 40)
+    r = random.Random(8)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"k{k:02}")
+    data = {(name(k), g): float(r.randint(1, 5)) for g in range(12) for k in r.sample(range(30), r.randint(1, 30))}
+    df = spark.createDataFrame([(*k, v) for k, v in data.items()], f"k {kind}, g int, v double")
+    of = {k: {g for x, g in data if x == k} for k, _ in data}
+    want = {}
+    for a, b in itertools.combinations(sorted(of), 2):
+        both = of[a] & of[b]
+        x, y = [data[a, g] for g in both], [data[b, g] for g in both]
+        if len(both) >= 3:
+            want[a, b] = (len(both), sum(x), sum(y), sum(v * v for v in x), sum(v * v for v in y), sum(v * w for v, w in zip(x, y, strict=True)))
+    assert {(a, b): tuple(more) for a, b, *more in rows(pr.shared(df, "k", "g", "v", 3))} == want
+    least = {p: n for p, (n, *_) in want.items() if n / (len(of[p[0]]) + len(of[p[1]]) - n) >= 0.5}
+    some = {(a, b): n for a, b, n in rows(pr.shared(df, "k", "g", least=3, jaccard=0.5))}
+    assert least.items() <= some.items() <= {p: n for p, (n, *_) in want.items()}.items() and least
+
+
+def test_plain_hashes_make_no_candidates(spark, monkeypatch):
+    """They agree for most pairs by chance: similar pairs are found first, and then their hashes compared."""
+    monkeypatch.setattr(minhash, "candidate_pairs", lambda *a: pytest.fail("candidates of plain hashes"))
+    r = random.Random(7)
+    data = {k: set(r.sample(range(60), r.randint(1, 20))) for k in range(40)}
+    df = spark.createDataFrame([(k, m) for k, v in data.items() for m in v] * 2, "k long, m long")
+    of = minhash.parameters(4)
+    sigs = {k: [min((a * m + b) % c for m in v) for _, a, b, c in of] for k, v in data.items()}
+    for size in (1, 2):
+        near = {(a, b) for a, b in itertools.combinations(data, 2) if any(sigs[a][i : i + size] == sigs[b][i : i + size] for i in range(0, 4, size))}
+        want = {(a, b) for a, b in near if len(data[a] & data[b]) / len(data[a] | data[b]) >= 0.2}
+        assert {(a, b) for a, b, _ in rows(minhash.similar(df, "k", "m", 0.2, n=4, rows=size))} == want and want
