@@ -224,3 +224,40 @@ def test_plain_hashes_make_no_candidates(spark, monkeypatch):
         near = {(a, b) for a, b in itertools.combinations(data, 2) if any(sigs[a][i : i + size] == sigs[b][i : i + size] for i in range(0, 4, size))}
         want = {(a, b) for a, b in near if len(data[a] & data[b]) / len(data[a] | data[b]) >= 0.2}
         assert {(a, b) for a, b, _ in rows(minhash.similar(df, "k", "m", 0.2, n=4, rows=size))} == want and want
+
+
+def test_predictions_join_the_way_of_fewer_rows(spark, monkeypatch):
+    r = random.Random(10)
+    train = {(u, i): float(r.randint(1, 5)) for u in range(12) for i in r.sample(range(10), r.randint(1, 8))}
+    df = spark.createDataFrame([(*k, v) for k, v in train.items()], "user_id long, item_id long, stars double")
+    model = [(a, b, round(r.uniform(0.1, 1), 3)) for a, b in itertools.combinations(range(10), 2) if r.random() < 0.5]
+    near = {(a, b): s for x, y, s in model for a, b in ((x, y), (y, x))}
+    want = {}
+    for u, t in train:
+        top = sorted((-near[t, i], i) for v, i in train if v == u and (t, i) in near)[:5]
+        if top:
+            want[u, t] = pytest.approx(sum(-s * train[u, i] for s, i in top) / sum(-s for s, _ in top), abs=1e-8)
+    table = spark.createDataFrame(model, "b1 long, b2 long, sim double")
+    users = [(a, b, round(r.uniform(0.1, 1), 3)) for a, b in itertools.combinations(range(12), 2)]
+    of_users = spark.createDataFrame(users, "u1 long, u2 long, sim double")
+    found, rows_ = [], cf._rows
+    for way in (1, -1):
+        monkeypatch.setattr(cf, "_rows", lambda *a, n=itertools.count(0, way): next(n))  # one way of the two, then the other
+        assert {(u, t): s for u, t, s in rows(cf.item_predict(df, df, table))} == want
+        found.append(rows(cf.user_predict(df, df, of_users)))
+    assert found[0] == found[1] and found[0]
+    assert rows_(df.select(F.col("item_id").alias("_x")), table.select(F.col("b1").alias("_x")), "_x") == sum(b1 == i for _, i in train for b1, _, _ in model)
+
+
+def test_content_in_blocks_of_users(spark, monkeypatch):
+    r = random.Random(11)
+    of = {f"u{k}": set(r.sample("abcdefghijkl", r.randint(1, 9))) for k in range(9)}
+    items = {k: set(r.sample("abcdefghijkl", r.randint(1, 9))) for k in range(20)}
+    u = spark.createDataFrame([(k, w) for k, v in of.items() for w in v], "u string, word string")
+    i = spark.createDataFrame([(k, w) for k, v in items.items() for w in v], "k long, word string")
+    want = {(a, b): pytest.approx(len(v & w) / math.sqrt(len(v) * len(w)), abs=1e-8) for a, v in of.items() for b, w in items.items() if v & w}
+    monkeypatch.setattr(profiles, "BLOCK", 10)
+    assert {(a, b): s for a, b, s in rows(profiles.content_predict(u, i, "u", "k"))} == want
+    some = r.sample([(a, b) for a in of for b in items], 60)
+    pairs = spark.createDataFrame(some, "u string, k long")
+    assert {(a, b): s for a, b, s in rows(profiles.content_predict(u, i, "u", "k", pairs=pairs))} == {p: want[p] for p in some if p in want}
