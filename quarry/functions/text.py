@@ -23,10 +23,11 @@ def simple_words(text: Column) -> Column:
 
 def normal_words(text: Column) -> Column:
     """Lower case, marks to spaces, new lines deleted, contractions and numbers dropped, split at every single space."""
-    out = F.translate(F.translate(F.lower(text), MARKS + "\\", " " * (len(MARKS) + 1)), "\n", "")
+    out = F.translate(F.lower(text), MARKS + "\\\n", " " * (len(MARKS) + 1))  # the last sign has no other
     out = F.replace(F.replace(out, F.lit("can't"), F.lit("can not")), F.lit("won't"), F.lit("will not"))
     for c in CONTRACTIONS:
         out = F.replace(out, F.lit(c), F.lit(" "))
-    out = F.regexp_replace(out, r"[\p{L}\p{N}_]+n't.", "")
-    out = F.regexp_replace(out, r"\$*\p{Nd}+", "")
-    return F.split(strip(F.regexp_replace(out, r"\p{Nd}+.", " ")), " ")
+    # A word is tried from its start only, or from where the last one's sign behind it was dropped.
+    dropped = F.regexp_replace(out, r"(?:\G|(?<![\p{L}\p{N}_]))[\p{L}\p{N}_]+n't.", "")
+    out = F.when(F.contains(out, F.lit("n't")), dropped).otherwise(out)
+    return F.split(strip(F.regexp_replace(out, r"\$*\p{Nd}+", "")), " ")  # no digit is left

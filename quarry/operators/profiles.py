@@ -13,29 +13,33 @@ TOP_WORDS = 200
 #: A word must make up so many millionths of all words.
 RARE_PER_MILLION = 1
 DIGITS = 9
+#: Different words that are sent to all tasks, as common words are that each make up a millionth.
+WORDS = 1_000_000
+#: Words of users that are sent to all tasks at once.
+BLOCK = 1_000_000
 
 
 def word_counts(texts: DataFrame, stopwords: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, word, f: words of the distinct texts of a key, without stop words and empty ones. The table is stored, as all that follows reads it several times."""
     words = texts.select(key, text).distinct().select(key, F.explode(normal_words(F.col(text))).alias("word")).where("word <> ''")
-    left = words.join(stopwords, "word", "left_anti")
+    left = words.join(F.broadcast(stopwords), "word", "left_anti")
     return kept(left.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f")), "words")
 
 
 def without_rare(counts: DataFrame, per_million: int = RARE_PER_MILLION) -> DataFrame:
     """Only words that make up their share of all words; of no effect below a million words."""
-    totals = counts.groupBy("word").agg(F.sum("f").alias("_f"))
+    totals = kept(counts.groupBy("word").agg(F.sum("f").alias("_f")), "totals")
     total = totals.agg(F.sum("_f").alias("_t"))
-    kept = totals.join(total, F.lit(True)).where(F.col("_f") * 1_000_000 >= F.col("_t") * per_million).select("word")  # one row on the right
-    return counts.join(kept, "word", "left_semi")
+    common = kept(totals.join(F.broadcast(total), F.lit(True)).where(F.col("_f") * 1_000_000 >= F.col("_t") * per_million).select("word"), "common")
+    return counts.join(F.broadcast(common), "word", "left_semi")  # at most a million words, by their share
 
 
 def tf_idf(counts: DataFrame, key: str) -> DataFrame:
-    """key, word, score = f / max f of the key * log2(keys / keys with the word), rounded."""
-    n = counts.agg(F.count_distinct(key).alias("_n"))
-    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
+    """key, word, score = f / max f of the key * log2(keys / keys with the word), rounded. Counts move by key once; numbers of keys go to them, up to ``WORDS`` words."""
+    df = kept(counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df")), "df")
+    n = counts.select(key).distinct().agg(F.count(key).alias("_n"))
     top = counts.withColumn("_max", F.max("f").over(Window.partitionBy(key)))
-    joined = top.join(df, "word").join(n, F.lit(True))  # one row on the right
+    joined = top.join(F.broadcast(df) if df.count() <= WORDS else df, "word").join(F.broadcast(n), F.lit(True))
     return joined.select(key, "word", F.round(F.col("f") / F.col("_max") * F.log2(F.col("_n") / F.col("_df")), DIGITS).alias("score"))
 
 
@@ -51,10 +55,25 @@ def user_profile(reviews: DataFrame, profile: DataFrame, user: str, key: str) ->
 
 
 def content_predict(users: DataFrame, items: DataFrame, user: str, key: str, least: float = 0.01, pairs: DataFrame | None = None) -> DataFrame:
-    """user, key, sim: cosine of the profiles, where it is at least so much; for given pairs, or all that share a word."""
-    n1 = users.groupBy(user).agg(F.count(F.lit(1)).alias("_n1"))
+    """user, key, sim: cosine of the profiles, where it is at least so much; for given pairs, or all that share a word.
+
+    Words of an item lie together, and go to a table of words with their users
+    (in blocks of some users), so words shared are counted before rows move.
+    """
+    items = kept(items.select(key, "word").repartition(key), "items")
+    n1 = kept(users.groupBy(user).agg(F.count(F.lit(1)).alias("_n1")).withColumn("_u", F.monotonically_increasing_id()), "users")
     n2 = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n2"))
-    met = users.join(items, "word") if pairs is None else pairs.join(users, user).join(items, [key, "word"])
-    shared = met.groupBy(user, key).agg(F.count(F.lit(1)).alias("_s"))
+    if pairs is not None:  # profiles of items are short: a pair costs their words
+        items = pairs.join(n1.select(user, "_u"), user).select("_u", key).join(items, key)
+    blocks = -(-int(n1.agg(F.sum("_n1")).first()[0] or 0) // BLOCK)
+    held = users.join(n1.select(user, F.col("_u").alias("_by")), user).select("word", "_by")
+    shared = None
+    for b in range(max(1, blocks)):
+        block = held if blocks <= 1 else held.where(F.pmod(F.xxhash64("_by"), F.lit(blocks)) == b)
+        words = block.groupBy("word").agg(F.collect_list("_by").alias("_by"))
+        met = items.join(F.broadcast(words), "word")
+        met = met.withColumn("_u", F.explode("_by")) if pairs is None else met.where(F.array_contains("_by", F.col("_u")))
+        counted = met.groupBy(key, "_u").agg(F.count(F.lit(1)).alias("_s"))
+        shared = counted if shared is None else shared.unionAll(counted)
     sim = cosine(F.col("_s"), F.col("_n1"), F.col("_n2"))
-    return shared.join(n1, user).join(n2, key).select(user, key, F.round(sim, DIGITS).alias("sim")).where(F.col("sim") >= least)
+    return shared.join(n1, "_u").join(n2, key).select(user, key, F.round(sim, DIGITS).alias("sim")).where(F.col("sim") >= least)

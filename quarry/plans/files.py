@@ -9,7 +9,7 @@ from quarry.operators import cf, minhash, profiles, stats
 from quarry.plans import adapters as on
 from quarry.plans import catalog as c
 from quarry.sources import readers, writers
-from quarry.sources.shared import shared_dir
+from quarry.sources.shared import kept, shared_dir
 
 #: Files that the points are dealt to.
 CHUNKS = 3
@@ -85,7 +85,7 @@ def user_model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A content model as two tables, and the pairs of a test file matched by it."""
     path = shared_dir(spark, "profiles")
-    business = c.QUERIES["business_profile"](spark, sf_dir)
+    business = kept(c.QUERIES["business_profile"](spark, sf_dir), "profile")
     reviews = on.texts(spark, sf_dir)
     writers.profiles(profiles.user_profile(reviews, business, "source", "doc_id"), business, path)
     writers.json_lines(reviews.select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("business_id")), f"{path}/test")

@@ -261,3 +261,19 @@ def test_content_in_blocks_of_users(spark, monkeypatch):
     some = r.sample([(a, b) for a in of for b in items], 60)
     pairs = spark.createDataFrame(some, "u string, k long")
     assert {(a, b): s for a, b, s in rows(profiles.content_predict(u, i, "u", "k", pairs=pairs))} == {p: want[p] for p in some if p in want}
+
+
+def test_words_dropped_before_an_apostrophe(spark):
+    """As the plain pattern drops them, also where a word begins right behind a dropped sign."""
+    from quarry.functions.text import normal_words
+
+    texts = ["i don't know", "don't.isn't won't", "don'txisn't y", "n't a", "an't n'tn't b", "x_1n't, é9n't c", "can't 12$$3 a1b2 \n z", "$5.00 isn't"]
+    out = F.translate(F.translate(F.lower("t"), "([,.!?:;])\\", " " * 12), "\n", "")
+    out = F.replace(F.replace(out, F.lit("can't"), F.lit("can not")), F.lit("won't"), F.lit("will not"))
+    for c in ("'m", "'re", "'ve", "'s", "'ll", "'d"):
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    for old, new in ((r"[\p{L}\p{N}_]+n't.", ""), (r"\$*\p{Nd}+", ""), (r"\p{Nd}+.", " "), (r"^\s+|\s+$", "")):
+        out = F.regexp_replace(out, old, new)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(F.split(out, " ").alias("want"), normal_words(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
