@@ -277,3 +277,20 @@ def test_words_dropped_before_an_apostrophe(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select(F.split(out, " ").alias("want"), normal_words(F.col("t")).alias("got")).collect()
     assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_equal_baskets_are_one_row(spark):
+    data = ["ab", "ba", "abc", "ab", "c", "abd"] * 20
+    pairs = bk.baskets(spark.createDataFrame([(i, x) for i, b in enumerate(data) for x in b], "b int, x string"), "b", "x")
+    held = bk.lists(pairs.withColumn("part", F.pmod("basket", F.lit(2))), ["part"])
+    assert {(r.part, "".join(r.held)): r.weight for r in held.collect()} == {(0, "ab"): 20, (0, "abc"): 20, (0, "c"): 20, (1, "ab"): 40, (1, "abd"): 20}
+    assert bk.number(held) == 120 and bk.lists(held) is held
+    want = {("a",): 100, ("b",): 100, ("c",): 40, ("a", "b"): 100}
+    assert sets(bk.son(held, 30, F.col("part"))) == sets(bk.apriori(held, 30)) == sets(bk.apriori(pairs, 30)) == want
+
+
+def test_values_are_made_where_the_key_is(spark):
+    """No task holds values of all keys: members come together by key before they are aggregated."""
+    df = spark.range(20).select((F.col("id") % 3).alias("k"), F.col("id").alias("m"))
+    plan = minhash.signatures(df, 2, "k", "m")._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange")
