@@ -294,3 +294,16 @@ def test_values_are_made_where_the_key_is(spark):
     df = spark.range(20).select((F.col("id") % 3).alias("k"), F.col("id").alias("m"))
     plan = minhash.signatures(df, 2, "k", "m")._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_candidates_are_made_once(spark, monkeypatch, kind):
+    monkeypatch.setattr(pr, "WIDE_TILE", 8)
+    monkeypatch.setattr(pr, "HELD", 64)
+    monkeypatch.setattr(pr, "COMPARED", 10)
+    r = random.Random(12)
+    data = [(k if kind == "long" else f"k{k:02}", m) for k in range(40) for m in r.sample(range(50), r.randint(1, 12))]
+    df = spark.createDataFrame(data * 2, f"k {kind}, m long")
+    for size, wide in ((1, False), (2, False), (2, True)):
+        got = rows(minhash.candidates(df, 5, "k", "m", size, wide))  # the last band has one value
+        assert got == rows(minhash.candidate_pairs(minhash.bands(minhash.signatures(df, 5, "k", "m", wide), size, "k"), "k")) and got
