@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,15 +20,37 @@ RARE_PER_MILLION = 1
 DIGITS = 9
 #: Different words that are sent to all tasks, as common words are that each make up a millionth.
 WORDS = 1_000_000
+#: Words of texts that are counted at once, if they are not one long text.
+READ = 1 << 20
 #: Words of users that are sent to all tasks at once.
 BLOCK = 1_000_000
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, words (a list) to key, word, f; some words at once, and never a part of a row."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(lengths), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + READ, side="right")))
+            words = pc.list_flatten(batch.column(1).slice(at, to - at)).dictionary_encode()
+            size = max(1, len(words.dictionary))
+            found, f = np.unique(np.repeat(np.arange(at, to), lengths[at:to]) * size + words.indices.to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found // size)), words.dictionary.take(pa.array(found % size)), pa.array(f)], names=[*batch.schema.names[:1], "word", "f"])
+            at = to
+
+
 def word_counts(texts: DataFrame, stopwords: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, word, f: words of the distinct texts of a key, without stop words and empty ones. The table is stored, as all that follows reads it several times."""
-    words = texts.select(key, text).distinct().select(key, F.explode(normal_words(F.col(text))).alias("word")).where("word <> ''")
-    left = words.join(F.broadcast(stopwords), "word", "left_anti")
-    return kept(left.groupBy(key, "word").agg(F.count(F.lit(1)).alias("f")), "words")
+    """key, word, f: words of the distinct texts of a key, without stop words and empty ones. The table is stored, as all that follows reads it several times.
+
+    The words of a text are counted before anything moves; they move only where a key has several texts.
+    """
+    n, keys = texts.agg(F.count(F.lit(1)), F.count_distinct(key)).first()
+    rows = texts.select(key, text) if n == keys else texts.select(key, text).distinct()
+    kind = rows.schema[key].dataType.simpleString()
+    words = rows.select(key, normal_words(F.col(text)).alias("words")).mapInArrow(_counted, f"`{key}` {kind}, word string, f long").where("word <> ''")
+    left = words.join(F.broadcast(stopwords), "word", "left_anti").select(key, "word", "f")
+    return kept(left if n == keys else left.groupBy(key, "word").agg(F.sum("f").alias("f")), "words")
 
 
 def without_rare(counts: DataFrame, per_million: int = RARE_PER_MILLION) -> DataFrame:

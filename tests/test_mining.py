@@ -307,3 +307,12 @@ def test_candidates_are_made_once(spark, monkeypatch, kind):
     for size, wide in ((1, False), (2, False), (2, True)):
         got = rows(minhash.candidates(df, 5, "k", "m", size, wide))  # the last band has one value
         assert got == rows(minhash.candidate_pairs(minhash.bands(minhash.signatures(df, 5, "k", "m", wide), size, "k"), "k")) and got
+
+
+def test_words_are_counted_once_for_each_text(spark, monkeypatch):
+    monkeypatch.setattr(profiles, "READ", 3)
+    stop = spark.createDataFrame([("the",)], "word string")
+    one = spark.createDataFrame([(1, "the b a b"), (2, "a"), (3, None), (4, "")], "k long, text string")
+    assert rows(profiles.word_counts(one, stop, "k")) == [(1, "a", 1), (1, "b", 2), (2, "a", 1)]
+    more = spark.createDataFrame([("x", "a b"), ("x", "a b"), ("x", "b  c"), (None, "d d")], "k string, text string")
+    assert {tuple(r) for r in profiles.word_counts(more, stop, "k").collect()} == {("x", "a", 1), ("x", "b", 2), ("x", "c", 1), (None, "d", 2)}
