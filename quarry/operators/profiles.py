@@ -54,20 +54,21 @@ def word_counts(texts: DataFrame, stopwords: DataFrame, key: str, text: str = "t
 
 
 def without_rare(counts: DataFrame, per_million: int = RARE_PER_MILLION) -> DataFrame:
-    """Only words that make up their share of all words; of no effect below a million words."""
-    totals = kept(counts.groupBy("word").agg(F.sum("f").alias("_f")), "totals")
+    """Only words that make up their share of all words, with the keys that have them (_df); all words below a million words."""
+    totals = kept(counts.groupBy("word").agg(F.sum("f").alias("_f"), F.count(F.lit(1)).alias("_df")), "totals")
     total = totals.agg(F.sum("_f").alias("_t"))
-    common = kept(totals.join(F.broadcast(total), F.lit(True)).where(F.col("_f") * 1_000_000 >= F.col("_t") * per_million).select("word"), "common")
-    return counts.join(F.broadcast(common), "word", "left_semi")  # at most a million words, by their share
+    common = kept(totals.join(F.broadcast(total), F.lit(True)).where(F.col("_f") * 1_000_000 >= F.col("_t") * per_million).select("word", "_df"), "common")
+    return counts.join(F.broadcast(common), "word")  # at most a million words, by their share
 
 
 def tf_idf(counts: DataFrame, key: str) -> DataFrame:
-    """key, word, score = f / max f of the key * log2(keys / keys with the word), rounded. Counts move by key once; numbers of keys go to them, up to ``WORDS`` words."""
-    df = kept(counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df")), "df")
+    """key, word, score = f / max f of the key * log2(keys / keys with the word), rounded. Counts move by key once; where the keys with a word (_df) are not known, their numbers go to the counts, up to ``WORDS`` words."""
+    if "_df" not in counts.columns:
+        df = kept(counts.groupBy("word").agg(F.count(F.lit(1)).alias("_df")), "df")
+        counts = counts.join(F.broadcast(df) if df.count() <= WORDS else df, "word")
     n = counts.select(key).distinct().agg(F.count(key).alias("_n"))
-    top = counts.withColumn("_max", F.max("f").over(Window.partitionBy(key)))
-    joined = top.join(F.broadcast(df) if df.count() <= WORDS else df, "word").join(F.broadcast(n), F.lit(True))
-    return joined.select(key, "word", F.round(F.col("f") / F.col("_max") * F.log2(F.col("_n") / F.col("_df")), DIGITS).alias("score"))
+    top = counts.withColumn("_max", F.max("f").over(Window.partitionBy(key))).join(F.broadcast(n), F.lit(True))
+    return top.select(key, "word", F.round(F.col("f") / F.col("_max") * F.log2(F.col("_n") / F.col("_df")), DIGITS).alias("score"))
 
 
 def business_profile(scores: DataFrame, key: str, top: int = TOP_WORDS) -> DataFrame:
